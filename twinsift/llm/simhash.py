@@ -69,7 +69,10 @@ def _meeting_places(prints: DataFrame) -> DataFrame:
 
 
 def forest(prints: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that join what links of at most ``most`` bits among ``prints`` join: each print is reached once."""
+    """Links that join what links of at most ``most`` bits among ``prints`` join: each print is reached once.
+
+    Prints are unsigned: of signed integers numpy counts the bits of the absolute value.
+    """
     left, right, rest = [], [], prints
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
@@ -78,7 +81,7 @@ def forest(prints: np.ndarray, most: int) -> tuple[list[np.ndarray], list[np.nda
             near = np.bitwise_count(rest ^ at) <= most
             if near.any():
                 hit = rest[near]
-                left.append(np.full(len(hit), at))
+                left.append(np.full(len(hit), at, prints.dtype))
                 right.append(hit)
                 queue.extend(hit)
                 rest = rest[~near]
@@ -124,7 +127,7 @@ def print_links(prints: DataFrame, most: int = BITS, block: int = BLOCK) -> Data
     met = met.select(group.alias("group"), "fingerprint")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, found = np.empty(0, np.int64), np.empty(0, np.int64)
+        groups, found = np.empty(0, np.int64), np.empty(0, np.uint64)
         ended = False
         batches = iter(batches)
         while not ended:
@@ -134,7 +137,7 @@ def print_links(prints: DataFrame, most: int = BITS, block: int = BLOCK) -> Data
                 if not batch.num_rows:
                     continue
                 groups = np.concatenate((groups, batch.column(0).to_numpy()))
-                found = np.concatenate((found, batch.column(1).to_numpy()))
+                found = np.concatenate((found, batch.column(1).to_numpy().view(np.uint64)))
             if not len(groups):
                 continue
             whole = len(groups) if ended else int(np.searchsorted(groups, groups[-1]))
@@ -142,7 +145,7 @@ def print_links(prints: DataFrame, most: int = BITS, block: int = BLOCK) -> Data
                 a, b = link_groups(groups[:whole], found[:whole], most)
                 groups, found = groups[whole:], found[whole:]
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
     return met.repartition("group").sortWithinPartitions("group").mapInArrow(link, "a long, b long").distinct()
 
