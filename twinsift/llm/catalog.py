@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, packing, simhash
+from . import langid, lines, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(_table(spark, sf_dir, "labels"))
+    mixed, domains = mixing.mixture(_table(spark, sf_dir, "documents"), labelled)
+    posteriors = [F.col("__posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
+    return mixed.select("doc_id", F.col("__tokens").alias("tokens"), *posteriors, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
 
@@ -35,11 +42,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op5_mixing_to_targets": op5_mixing_to_targets,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_mixing_to_targets": op5_mixing_to_targets,
     "op7_line_dedup": lines.ORACLE_SQL,
 }
