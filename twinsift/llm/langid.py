@@ -34,23 +34,68 @@ def letter_runs(text: str) -> list[str]:
 
 
 class Segmenter:
-    """The log probability of words under every language, summed over segmentations."""
+    """The log probability of words under every language, summed over segmentations, for many words at once.
+
+    Substrings are looked up by a rolling hash of 64 bits: a table of one byte a slot turns
+    most away, and a search among the pieces' sorted hashes finds the others.
+    """
+
+    _BASE, _MIX, _SLOTS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), 21
 
     def __init__(self, pieces: list[str], probabilities: np.ndarray):
-        self.rows = dict(zip(pieces, probabilities))
-        self.longest = max(map(len, pieces), default=1)
         self.languages = probabilities.shape[1]
-
-    def word(self, word: str) -> np.ndarray:
-        """Forward sums, a scale for each language kept apart so that long words do not underflow."""
-        text, rows = "▁" + word, self.rows
-        sums, scale = [np.ones(self.languages)], np.zeros(self.languages)
-        for end in range(1, len(text) + 1):
+        self.longest = max(map(len, pieces), default=1)
+        hashes = np.array([self._hash(p) for p in pieces], np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.probabilities = hashes[order], np.ascontiguousarray(probabilities[order])
+        self.taken = np.zeros(1 << self._SLOTS, bool)
+        self.taken[self._slot(self.hashes)] = True
+
+    def _hash(self, piece: str) -> int:
+        value = 0
+        for c in piece:
+            value = (value * int(self._BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return value
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes * self._MIX) >> np.uint64(64 - self._SLOTS)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Words x languages."""
+        out = np.zeros((len(words), self.languages))
+        by_length: dict[int, list[int]] = {}
+        for at, word in enumerate(words):
+            by_length.setdefault(len(word) + 1, []).append(at)
+        for length, rows in by_length.items():
+            step = max(1, 2_000_000 // (length * max(self.languages, self.longest)))
+            for first in range(0, len(rows), step):
+                part = rows[first : first + step]
+                out[part] = self._alike("".join("▁" + words[at] for at in part), len(part), length)
+        return out
+
+    def _alike(self, joined: str, words: int, length: int) -> np.ndarray:
+        """The forward algorithm over words of one length; each word and language has a scale of its own."""
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(words, length).astype(np.uint64)
+        ends: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(length + 1)]
+        hashes = np.zeros((words, length + 1), np.uint64)
+        for size in range(1, min(self.longest, length) + 1):
+            hashes = hashes[:, : length - size + 1] * self._BASE + codes[:, size - 1 :]
+            row, start = np.nonzero(self.taken[self._slot(hashes)])
+            wanted = hashes[row, start]
+            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            there = self.hashes[at] == wanted
+            row, start, at = row[there], start[there], at[there]
+            order = np.argsort(start, kind="stable")
+            row, start, at = row[order], start[order], at[order]
+            cuts = np.searchsorted(start, np.arange(length - size + 2))
+            for s in range(length - size + 1):
+                if cuts[s] < cuts[s + 1]:
+                    ends[s + size].append((size, row[cuts[s] : cuts[s + 1]], at[cuts[s] : cuts[s + 1]]))
+        sums, scale = [np.ones((words, self.languages))], np.zeros((words, self.languages))
+        for found in ends[1:]:
             total = sums[-1] * UNCOVERED
-            for start in range(max(0, end - self.longest), end):
-                row = rows.get(text[start:end])
-                if row is not None:
-                    total = total + sums[start - end] * row
+            for size, row, at in found:
+                total[row] += sums[-size][row] * self.probabilities[at]
             sums.append(total)
             if len(sums) > self.longest:
                 del sums[0]
@@ -68,26 +113,41 @@ class Scorer:
         self.width = segmenter.languages + 1
         self.most = max(1000, 1_500_000 // self.width)
         self.known: dict[str, int] = {}
-        self.table = np.empty((1024, self.width))
-
-    def _row(self, chunk: str) -> int:
-        at = len(self.known)
-        if at == len(self.table):
-            self.table = np.concatenate((self.table, np.empty_like(self.table)))
-        runs = letter_runs(chunk)
-        self.table[at, :-1] = sum((self.segmenter.word(r) for r in runs), np.zeros(self.width - 1))
-        self.table[at, -1] = len(runs)
-        self.known[chunk] = at
-        return at
-
-    def text(self, text: str) -> tuple[np.ndarray, int]:
-        """Log likelihoods, and the number of runs of letters."""
+        self.table = np.empty((0, self.width))
+
+    def _learn(self, chunks: list[str]) -> None:
+        runs = [letter_runs(c) for c in chunks]
+        distinct = list({r for found in runs for r in found})
+        place = {r: at for at, r in enumerate(distinct)}
+        scores = np.concatenate((self.segmenter.words(distinct), np.ones((len(distinct), 1))), axis=1)
+        of = np.repeat(np.arange(len(chunks)), [len(found) for found in runs])
+        rows = np.zeros((len(chunks), self.width))
+        np.add.at(rows, of, scores[[place[r] for found in runs for r in found]])
+        self.known.update(zip(chunks, range(len(self.table), len(self.table) + len(chunks))))
+        self.table = np.concatenate((self.table, rows))
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the log likelihoods, and last the number of runs of letters."""
         if len(self.known) > self.most:
-            self.known = {}
-        known = self.known
-        at = [known[c] if c in known else self._row(c) for c in text.split()]
-        total = self.table[at].sum(axis=0)
-        return total[:-1], int(total[-1])
+            self.known, self.table = {}, np.empty((0, self.width))
+        split = [t.split() for t in texts]
+        new = list({c for chunks in split for c in chunks if c not in self.known})
+        if new:
+            self._learn(new)
+        return [self.table[list(map(self.known.__getitem__, chunks))].sum(axis=0) for chunks in split]
+
+
+def _in_parts(texts: pa.Array, most: int = 1_000_000) -> Iterator[list[str | None]]:
+    """Some texts at a time, of about so many characters or one longer text."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text.as_py())
+        held += len(part[-1] or "")
+        if held >= most:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
 
 
 def piece_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -103,20 +163,25 @@ def piece_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
         known: dict[str, list[int]] = {}
         totals: dict[str, Counter] = {}
         for batch in batches:
-            chunks: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                chunks.setdefault(lang, Counter()).update((text.as_py() or "").split())
-                totals.setdefault(lang, Counter())[-1] += 1
-            if len(known) > 300_000:
-                known = {}
-            for lang, found in chunks.items():
-                total = totals[lang]
-                for chunk, n in found.items():
-                    pieces = known.get(chunk)
-                    if pieces is None:
-                        pieces = known[chunk] = [p for run in letter_runs(chunk) for p in encode(run)]
-                    for piece in pieces:
-                        total[piece] += n
+            langs = iter(batch.column(0).to_pylist())
+            for texts in _in_parts(batch.column(1)):
+                chunks: dict[str, Counter] = {}
+                for text in texts:
+                    lang = next(langs)
+                    chunks.setdefault(lang, Counter()).update((text or "").split())
+                    totals.setdefault(lang, Counter())[-1] += 1
+                if len(known) > 200_000:
+                    known = {}
+                new = list({c for found in chunks.values() for c in found if c not in known})
+                runs = [letter_runs(c) for c in new]
+                pieces = iter(encode([r for found in runs for r in found], num_threads=1))
+                for chunk, found in zip(new, runs):
+                    known[chunk] = [p for _ in found for p in next(pieces)]
+                for lang, found in chunks.items():
+                    total = totals[lang]
+                    for chunk, n in found.items():
+                        for piece in known[chunk]:
+                            total[piece] += n
         for lang, total in totals.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(total)), pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.int64())],
@@ -165,15 +230,17 @@ class Predictor:
         pieces = SentencePieceProcessor(model_file=vocabulary)
         self.scorer = Scorer(Segmenter([pieces.id_to_piece(i) for i in range(pieces.get_piece_size())], probabilities))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages:
-            return UNKNOWN, 0.0
-        sums, runs = self.scorer.text(text)
-        if not runs:
+    def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        return [self._best(sums) for part in _in_parts(texts) for sums in self.scorer.texts([t or "" for t in part])]
+
+    def _best(self, sums: np.ndarray) -> tuple[str, float]:
+        if not sums[-1]:
             return UNKNOWN, 0.0
-        sums = sums + self.prior
-        best = int(sums.argmax())
-        return self.languages[best], 1.0 / float(np.exp(sums - sums[best]).sum())
+        odds = sums[:-1] + self.prior
+        best = int(odds.argmax())
+        return self.languages[best], 1.0 / float(np.exp(odds - odds[best]).sum())
 
 
 def identify(docs: DataFrame, training: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -188,7 +255,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str = DEFAULT_VOC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model.value, vocabulary)
         for batch in batches:
-            found = [predict(text.as_py()) for text in batch.column(1)]
+            found = predict(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())],
                 names=["doc_id", "lang_pred", "score"],
@@ -209,7 +276,7 @@ def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, vo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = Predictor(model.value, vocabulary)
         for batch in batches:
-            found = [predict(text.as_py()) for text in batch.column(at)]
+            found = predict(batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
