@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, mixing, packing, simhash
+from . import kdtree, langid, lattice, lines, mixing, packing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", kdtree.quantised("embedding").alias("vector"))
+    return kdtree.top_k(vectors, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score")
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.quality_domains(_table(spark, sf_dir, "labels"))
     mixed, domains = mixing.mixture(_table(spark, sf_dir, "documents"), labelled)
@@ -42,6 +51,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_exact_top_k": op2_exact_top_k,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_to_targets": op5_mixing_to_targets,
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
@@ -49,6 +60,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_top_k": op2_exact_top_k,
+    "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_to_targets": op5_mixing_to_targets,
+    "op2_exact_top_k": """
+        WITH sound AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM sound q JOIN sound c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        ), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op4_embedding_near_dedup": """
+        WITH RECURSIVE units AS (
+          SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        ), links AS (
+          SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+        ), reach(id, other) AS (SELECT vec_id, vec_id FROM units UNION SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM units LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
+        JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = vec_id""",
     "op7_line_dedup": lines.ORACLE_SQL,
 }
