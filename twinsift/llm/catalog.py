@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, langid, lattice, lines, mixing, packing, simhash
+from . import kdtree, langid, lattice, lines, mixing, packing, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,13 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures, entries = (spark.sql(text.replace("FROM pages", "FROM {pages}"), pages=pages) for text in (urls.CAPTURE_SQL, urls.LIST_SQL))
+    found = urls.filter_captures(captures, entries)
+    return found.select(F.col("capture_id").alias("page_id"), "key", "action", "blocked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_top_k": op2_exact_top_k,
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_url_filters": op10_url_filters,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM units LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a = vec_id
         JOIN (SELECT id, min(other) AS component_id FROM reach GROUP BY id) ON id = vec_id""",
     "op7_line_dedup": lines.ORACLE_SQL,
+    "op10_url_filters": urls.ORACLE_SQL,
 }
