@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import kdtree, langid, lattice, lines, mixing, packing, recompression, simhash, urls
+from . import kdtree, langid, lattice, lines, materialise, mixing, packing, recompression, simhash, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.top_k(vectors, F.col("vec_id") % 50 == 0, 5).select("query_id", "rank", "vec_id", "score")
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise.materialise(_table(spark, sf_dir, "documents")).drop("file")
+
+
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +68,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_training_order": op3_training_order,
     "op4_embedding_near_dedup": op4_embedding_near_dedup,
     "op5_mixing_to_targets": op5_mixing_to_targets,
     "op6_substring_dedup": op6_substring_dedup,
