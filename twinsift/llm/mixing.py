@@ -144,27 +144,36 @@ def quality_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def _copies(rates: str = "__rate") -> Column:
-    """A whole number of copies whose expectation is the rate: a hash of the row decides the rest."""
-    chance = F.expr("shiftrightunsigned(xxhash64(doc_id, text, 5L), 11)") / F.lit(float(1 << 53))
-    return F.floor(F.col(rates) + chance).cast("long")
+def _chance() -> Column:
+    """A number from 0 up to 1 that follows from doc_id and text."""
+    return F.expr("shiftrightunsigned(xxhash64(doc_id, text, 5L), 11)") / F.lit(float(1 << 53))
+
+
+def _copies(gradients: list[list[float]]) -> Column:
+    """A whole number of copies whose expectation is the rate; chance decides the rest."""
+    return F.floor(rate(gradients) + F.col("__chance")).cast("long")
+
+
+def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> tuple[DataFrame, Classifier, list[list[float]]]:
+    model = fit_classifier(docs, labelled)
+    members = written(with_posteriors(docs.withColumn("__chance", _chance()), model).drop("text"))
+    return members, model, fit_rates(members, model.domains, targets)
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> tuple[DataFrame, list[str]]:
-    """``docs`` with __tokens, __posterior, __rate and __copies, and the domains in order.
+    """``docs`` without text, but with __tokens, __posterior, __rate and __copies; and the domains in order.
 
-    Null and empty texts have no tokens and the prior's posterior; repeated rows get the same
-    numbers. No rows give none. Column names that begin with two underscores are the operator's.
+    Texts are read once more than the classifier's sample. Null and empty texts have no tokens
+    and the prior's posterior; repeated rows get the same numbers. No rows give none. Column
+    names that begin with two underscores are the operator's.
     """
-    model = fit_classifier(docs, labelled)
-    members = written(with_posteriors(docs.select("doc_id", "text"), model).select("__tokens", "__posterior"))
-    gradients = fit_rates(members, model.domains, targets)
-    out = with_posteriors(docs, model).withColumn("__rate", rate(gradients))
-    return out.withColumn("__copies", _copies()), model.domains
+    members, model, gradients = _fitted(docs, labelled, targets)
+    return members.withColumns({"__rate": rate(gradients), "__copies": _copies(gradients)}), model.domains
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say, with their columns untouched."""
-    mixed, _ = mixture(docs, labelled, targets)
+    """The rows of ``docs``, each as often as its copies say, with their columns untouched; see :func:`mixture`."""
+    _, model, gradients = _fitted(docs.select("doc_id", "text"), labelled, targets)
+    mixed = with_posteriors(docs.withColumn("__chance", _chance()), model).withColumn("__copies", _copies(gradients))
     repeated = mixed.where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
     return repeated.select(*docs.columns)
