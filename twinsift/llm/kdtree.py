@@ -136,6 +136,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD,
 
     def searched(asked: DataFrame) -> DataFrame:
         keys = ["shard", "group"]
+        asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # its columns are none of points'
         return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
 
     first = written(searched(queries.select("vec_id", "vector", "group", F.col("home").alias("shard"), F.lit(None).cast("long").alias("bar"))))

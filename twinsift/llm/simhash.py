@@ -177,4 +177,5 @@ def keep_one(docs: DataFrame, words: int = WORDS, most: int = BITS) -> DataFrame
     best = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(best, docs["doc_id"].eqNullSafe(best["__id"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    return kept.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    name = "__rank" + "_" * max(map(len, docs.columns))  # no column's name
+    return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name)
