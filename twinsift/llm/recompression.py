@@ -11,7 +11,7 @@ one document only cannot repeat. The others are verified by a hash of all their
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,16 +97,29 @@ def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return out
 
 
+def _ranges(codes: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Hashes of the words from one place to another, by differences of a sum with powers of an odd number."""
+    base = int(_A)
+    ahead, back = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), b, np.uint64))), dtype=np.uint64) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes * ahead[:-1], dtype=np.uint64)))
+    return lambda start, end: (sums[end] - sums[start]) * back[start]
+
+
 def window_anchors(codes: np.ndarray, hashes: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> np.ndarray:
-    """The anchor of every window: its longest symbol, of several the one with the greatest hash; without one, the window's own hash."""
+    """The anchor of every window: its longest symbol with the words that decided it, of several the one with the greatest hash.
+
+    A window in which no symbol was decided is its own anchor.
+    """
     n = len(hashes)
     best = np.zeros(n, np.uint64)
+    words_between = _ranges(codes)
     for number, (name, start, end, low, high) in enumerate(compressed(codes, rounds)):
         length = end - start
         room = window - (high - low)
         inside = np.flatnonzero((low >= 0) & (high <= len(codes)) & (room >= 0) & (length > 1))
-        key = (np.minimum(length[inside], 31).astype(np.uint64) << np.uint64(59)) | (_mixed(name[inside] + np.uint64(number)) >> np.uint64(5))
         at, room = low[inside], room[inside]
+        seen = _mixed(name[inside] + np.uint64(number)) + words_between(at, high[inside])
+        key = (np.minimum(length[inside], 31).astype(np.uint64) << np.uint64(59)) | (_mixed(seen) >> np.uint64(5))
         for _ in range(window):
             if not len(at):
                 break
