@@ -83,7 +83,7 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
     """
     spark = docs.sparkSession
     folder = (folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}").rstrip("/")
-    table = written(token_table(docs, vocabulary))
+    table = written(token_table(docs, vocabulary), "zstd")
     ends = table.groupBy("part").agg(F.max(F.col("start") + F.octet_length("tokens") / 2).cast("long").alias("n"))
     # one row for each partition of the input
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -104,7 +104,7 @@ def materialise(docs: DataFrame, folder: str | None = None, length: int = LENGTH
                     take = min(length - place, n - done)
                     sequences.append(sequence)
                     places.append(place)
-                    pieces.append(tokens[2 * done : 2 * (done + take)])
+                    pieces.append(zlib.compress(tokens[2 * done : 2 * (done + take)], 1))
                     done += take
             at = np.array(sequences, np.int64)
             slot = order(at) if len(at) else at
@@ -142,7 +142,7 @@ def _records(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[i
                 yield (*now, *_record(held, length))
                 held = []
             now = (slot, sequence)
-            held.append(piece)
+            held.append(zlib.decompress(piece))
     if now is not None:
         yield (*now, *_record(held, length))
 
