@@ -74,6 +74,32 @@ def test_mixture_meets_targets(spark, documents):
         mixing.mixture(documents([]), labelled)
 
 
+def _members(spark, posterior, tokens_of):
+    rows = [(int(t), [float(x) for x in p]) for t, p in zip(tokens_of, posterior)]
+    return spark.createDataFrame(rows, "__tokens long, __posterior array<double>")
+
+
+def test_overlapping_domains_meet_targets(spark):
+    draw = np.random.default_rng(6)
+    odds = np.exp(draw.normal(size=(400, 3)) * 0.3 + [2.0, 0.5, 0.0])
+    posterior, tokens_of = odds / odds.sum(axis=1, keepdims=True), draw.integers(1, 500, 400)
+    members = _members(spark, posterior, tokens_of)
+    aimed = np.array([0.78, 0.15, 0.07])
+    multipliers = mixing.fit_rates(members, list("abc"), dict(zip("abc", aimed)))
+    rates = np.array([r[0] for r in members.select(mixing.rate(multipliers)).collect()])
+    assert (rates >= 0).all() and (rates == 0).any()
+    assert np.abs((rates * tokens_of) @ posterior / tokens_of.sum() - aimed).max() <= mixing.TOLERANCE
+
+
+def test_targets_out_of_reach_are_reported(spark):
+    members = _members(spark, [[0.5, 0.5]] * 20 + [[0.6, 0.4]] * 20, [10] * 40)
+    with pytest.warns(UserWarning, match="no rates meet the targets"):
+        multipliers = mixing.fit_rates(members, ["a", "b"], {"a": 0.9, "b": 0.1})
+    # all from the second kind, as near to both targets as it comes
+    rates = np.array([r[0] for r in members.select(mixing.rate(multipliers)).collect()])
+    assert np.allclose(rates, [0] * 20 + [2 * 0.58 / 0.52] * 20, atol=1e-3)
+
+
 def test_search_against_all(spark):
     draw = np.random.default_rng(7)
     rows = [(i, draw.integers(-20, 20, 8).astype(float).tolist()) for i in range(700)]

@@ -1,18 +1,21 @@
 """Mixing by soft membership, in DataFrame operations only.
 
 A labelled table trains a naive Bayes classifier over hashed words; it gives every document
-a posterior over domains. Document rates (at least 0) are then fitted by projected gradient
-steps so that the expected tokens of each domain, sum of rate x tokens x posterior, meet the
-targets in the least squares sense. Each step is one distributed sum of one number a domain.
+a posterior over domains. Document rates are then fitted so that the expected tokens of each
+domain, sum of rate x tokens x posterior, meet the targets: of all rates of at least 0 that do,
+those nearest to 1. They are max(0, 1 + posterior . multipliers), and Newton steps on the dual
+find the multipliers; each trial is one distributed sum of some numbers a pair of domains.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +26,14 @@ BUCKETS = 4096
 MOST_LABELLED = 20_000
 #: A text's evidence counts as that of this many words at most, so that long texts stay soft.
 EVIDENCE = 64
+#: Trials of multipliers before a fit that still moves is an error; the largest miss that is met, as a part of all tokens.
 STEPS, TOLERANCE = 30, 1e-4
+#: Weight of the squared multipliers, which keeps the fit bounded where no rates meet the targets.
+_RIDGE = 1e-8
 #: Sums are of whole 2**-20ths, so that they come out alike however rows are dealt.
 _UNIT = 1 << 20
+#: The same for Gram matrices, whose rounding has to stay well below the ridge.
+_FINE = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -94,44 +102,70 @@ def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return out.withColumn("__posterior", F.transform("__odds", lambda x: x / total)).drop("__logits", "__odds")
 
 
-def rate(gradients: list[list[float]]) -> Column:
-    """A document's rate after these steps from 1: each goes against the gradient and no lower than 0."""
-    if not gradients:
-        return F.lit(1.0)
-    domains = len(gradients[0])
+def rate(multipliers: list[float]) -> Column:
+    """A document's rate: 1 and its posterior's share of the multipliers, no lower than 0."""
+    along = sum((F.col("__posterior")[k] * m for k, m in enumerate(multipliers)), F.lit(1.0))
+    return F.greatest(F.lit(0.0), along)
 
-    def step(r: Column, g: Column) -> Column:
-        along = sum((F.col("__posterior")[k] * g[k] for k in range(domains)), F.lit(0.0))
-        return F.greatest(F.lit(0.0), r - along)
 
-    return F.aggregate(_literal(gradients, "array<array<double>>"), F.lit(1.0), step)
-
-
-def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
-    """The steps that bring the expected tokens of each domain to its part of all tokens.
+def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
+    """The multipliers, one a domain, that bring its expected tokens to its part of all tokens.
 
     ``members`` has __tokens and __posterior; ``targets`` are weights by domain (0 if not
-    named). The gradient is scaled by each document's tokens and each domain's first total,
-    with which a step of 1 never overshoots.
+    named). Targets that no rates meet get the nearest totals and a warning with the misses; a
+    fit that has not come to rest after ``steps`` trials is an error.
     """
-    weight = [float(targets.get(d, 0.0)) for d in domains]
-    if min(weight) < 0 or sum(weight) <= 0:
+    weight = np.array([float(targets.get(d, 0.0)) for d in domains])
+    if weight.min() < 0 or weight.sum() <= 0:
         raise ValueError("targets are weights of at least 0, and not all 0")
-
-    def totals(gradients: list[list[float]]) -> list[float]:
-        share = rate(gradients) * F.col("__tokens")
-        sums = [F.sum(F.round(share * F.col("__posterior")[k] * _UNIT).cast("decimal(38,0)")).alias(f"d{k}") for k in range(len(domains))]
-        return [float(x or 0) / _UNIT for x in members.select(*sums).first()]
-
-    first = totals([])
-    all_tokens = sum(first)
-    target = [w / sum(weight) * all_tokens for w in weight]
-    gradients: list[list[float]] = []
-    now = first
-    while len(gradients) < steps and max(abs(s - t) for s, t in zip(now, target)) > tolerance * all_tokens:
-        gradients.append([(s - t) / f if f else 0.0 for s, t, f in zip(now, target, first)])
-        now = totals(gradients)
-    return gradients
+    size = len(domains)
+    pairs = [(k, j) for k in range(size) for j in range(k + 1)]
+
+    def sums(multipliers: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """Expected tokens by domain, half the tokens at squared rates, and the pairs' Gram matrix over documents that stay."""
+        p, share = F.col("__posterior"), F.col("__rate") * F.col("__tokens")
+        stays = F.when(F.col("__rate") > 0, F.col("__tokens")).otherwise(0)
+        parts = [(share * p[k], _UNIT) for k in range(size)] + [(share * F.col("__rate") / 2, _UNIT)] + [(stays * p[k] * p[j], _FINE) for k, j in pairs]
+        rated = members.select("__tokens", "__posterior", rate(multipliers.tolist()).alias("__rate"))
+        row = rated.select(*[F.sum(F.round(x * unit).cast("decimal(38,0)")).alias(f"s{n}") for n, (x, unit) in enumerate(parts)]).first()
+        got = np.array([float(x or 0) / unit for x, (_, unit) in zip(row, parts)])
+        gram = np.zeros((size, size))
+        for (k, j), x in zip(pairs, got[size + 1 :]):
+            gram[k, j] = gram[j, k] = x
+        return got[:size], float(got[size]), gram
+
+    at = np.zeros(size)
+    now, energy, gram = sums(at)
+    total = float(now.sum())
+    target = weight / weight.sum()
+    if not total:
+        return at.tolist()
+
+    def height(multipliers: np.ndarray, energy: float) -> float:
+        return energy / total - float(multipliers @ target) + _RIDGE / 2 * float(multipliers @ multipliers)
+
+    tried, length, fresh = 0, 1.0, True
+    while np.abs(now / total - target).max() > tolerance:
+        if fresh:
+            slope = now / total - target + _RIDGE * at
+            if np.abs(slope).max() <= tolerance / 100:
+                missed = ", ".join(f"{d} {x:.4f} for {t:.4f}" for d, x, t in zip(domains, now / total, target))
+                warnings.warn(f"no rates meet the targets; parts of all tokens: {missed}", stacklevel=2)
+                break
+            way = -np.linalg.solve(gram / total + _RIDGE * np.eye(size), slope)
+        if tried == steps:
+            raise RuntimeError(f"the mixture has not come to rest after {steps} trials; parts of all tokens: {dict(zip(domains, (now / total).tolist()))}")
+        tried += 1
+        there = at + length * way
+        found = sums(there)
+        # heights are compared as finely as doubles of their size are
+        before = height(at, energy)
+        fresh = height(there, found[1]) <= before + 1e-4 * length * float(slope @ way) + 1e-12 * (1 + abs(before))
+        if fresh:
+            at, (now, energy, gram), length = there, found, 1.0
+        else:
+            length /= 2
+    return at.tolist()
 
 
 #: Aimed parts of all tokens by domain.
@@ -149,14 +183,14 @@ def _chance() -> Column:
     return F.expr("shiftrightunsigned(xxhash64(doc_id, text, 5L), 11)") / F.lit(float(1 << 53))
 
 
-def _copies(gradients: list[list[float]]) -> Column:
+def _copies(multipliers: list[float]) -> Column:
     """A whole number of copies whose expectation is the rate; chance decides the rest."""
-    return F.floor(rate(gradients) + F.col("__chance")).cast("long")
+    return F.floor(rate(multipliers) + F.col("__chance")).cast("long")
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> tuple[DataFrame, Classifier, list[list[float]]]:
+def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *drop: str) -> tuple[DataFrame, Classifier, list[float]]:
     model = fit_classifier(docs, labelled)
-    members = written(with_posteriors(docs.withColumn("__chance", _chance()), model).drop("text"))
+    members = written(with_posteriors(docs.withColumn("__chance", _chance()), model).drop(*drop))
     return members, model, fit_rates(members, model.domains, targets)
 
 
@@ -167,13 +201,15 @@ def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] =
     and the prior's posterior; repeated rows get the same numbers. No rows give none. Column
     names that begin with two underscores are the operator's.
     """
-    members, model, gradients = _fitted(docs, labelled, targets)
-    return members.withColumns({"__rate": rate(gradients), "__copies": _copies(gradients)}), model.domains
+    members, model, multipliers = _fitted(docs, labelled, targets, "text")
+    return members.withColumns({"__rate": rate(multipliers), "__copies": _copies(multipliers)}), model.domains
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say, with their columns untouched; see :func:`mixture`."""
-    _, model, gradients = _fitted(docs.select("doc_id", "text"), labelled, targets)
-    mixed = with_posteriors(docs.withColumn("__chance", _chance()), model).withColumn("__copies", _copies(gradients))
-    repeated = mixed.where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
+    """The rows of ``docs``, each as often as its copies say, with their columns untouched; see :func:`mixture`.
+
+    Rows are written with their posteriors, which would else be made anew for every use of them.
+    """
+    members, _, multipliers = _fitted(docs, labelled, targets)
+    repeated = members.withColumn("__copies", _copies(multipliers)).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
     return repeated.select(*docs.columns)
