@@ -19,8 +19,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of templates that recur across documents go, but for their first; n_chars follows the text."""
-    cleaned = lines.drop_recurring_lines(docs)
+    """Lines of any length of templates that recur across documents go, but for their first; n_chars follows the text."""
+    cleaned = lines.drop_recurring_lines(docs, shortest=1)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

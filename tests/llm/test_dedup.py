@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from twinsift.llm import lattice, lines, recompression, simhash
 from twinsift.llm.graph import connected_components
 
@@ -127,6 +128,15 @@ def test_lines(spark, documents):
     assert lines.drop_recurring_lines(documents([])).count() == 0
 
 
+def test_short_lines_go_in_the_pipeline(spark, documents):
+    own = [f"{c}wn" for c in "abcdefghijkl"]
+    rows = [(i, f"{own[i]}\nLes.\nPage {i}\n\n{i}\n{own[i]} line") for i in range(12)] + [(20, "Les. Page"), (21, None), (22, "")]
+    docs = documents(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.without_recurring_lines(spark, docs, "").collect()}
+    expected = {i: t for i, t in rows} | {i: f"{own[i]}\n\n{i}\n{own[i]} line" for i in range(1, 12)}
+    assert got == {i: (t, None if t is None else len(t)) for i, t in expected.items()}
+
+
 def test_lattice_points():
     steps = lattice.minimal_vectors()
     assert steps.shape == (240, 8) and np.allclose((steps**2).sum(axis=1), 2)

@@ -16,7 +16,7 @@ from .common import written
 
 #: A template recurs from this many documents on; a token is constant from this many lines on.
 MIN_DOCUMENTS = 10
-#: Leading tokens that the tree looks at; shorter lines are left alone.
+#: Leading tokens that the tree looks at; shorter lines are left alone unless asked for.
 DEPTH = 3
 #: The least part of a recurring template's tokens that is constant.
 CONSTANT = 0.5
@@ -34,18 +34,20 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["__id"].eqNullSafe(b["__id"]) & (a["__print"] == b["__print"])
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     lines = _keyed(docs).select(*_KEY, F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
     tokens = F.length("__line") - F.length(F.replace("__line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("__tokens", tokens).where((F.col("__tokens") >= DEPTH) & (F.trim("__line") != ""))
+    lines = lines.withColumn("__tokens", tokens).where((F.col("__tokens") >= shortest) & (F.trim("__line") != ""))
     head = F.split("__line", " ", DEPTH + 1)
-    lead = [F.when(head[i].rlike("[0-9]"), VARIABLE).otherwise(head[i]) for i in range(DEPTH)]
+    # a null past a shorter line's end adds nothing to the hash, which has the number of tokens
+    leading = [F.get(head, F.lit(i)) for i in range(DEPTH)]
+    lead = [F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t) for t in leading]
     return lines.withColumn("__leaf", F.xxhash64("__tokens", *lead)).drop("__tokens")
 
 
-def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """The lines to drop: __id, __print (key of the row) and __at (line number from 0)."""
-    lines = _lines(docs)
+def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, shortest: int = DEPTH) -> DataFrame:
+    """The lines to drop, of ``shortest`` tokens or more: __id, __print (key of the row) and __at (line number from 0)."""
+    lines = _lines(docs, shortest)
     leaves = lines.select(*_KEY, "__leaf").distinct().groupBy("__leaf").count().where(F.col("count") >= min_documents)
     found = lines.join(leaves.select("__leaf"), "__leaf", "left_semi")
     found = found.withColumn("__line", F.regexp_replace("__line", "[^ ]*[0-9][^ ]*", VARIABLE))
@@ -68,14 +70,14 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> Data
     return placed.join(recurring, "__template").where(~line.eqNullSafe(F.col("__first"))).select(*_KEY, "__at")
 
 
-def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, shortest: int = DEPTH) -> DataFrame:
     """``docs`` with recurring lines taken out of text, and n_lines and n_dropped added.
 
     A null text stays null and has no lines; a text all of whose lines go is empty. Repeated
-    rows lose the same lines and count as one document. Other columns are untouched, but for
+    rows lose the same lines and count as one document. Lines of fewer than ``shortest`` tokens stay. Other columns are untouched, but for
     names that begin with two underscores, and n_lines and n_dropped, which are replaced.
     """
-    drops = recurring_lines(docs, min_documents).groupBy(*_KEY).agg(F.array_sort(F.collect_set("__at")).alias("__drops"))
+    drops = recurring_lines(docs, min_documents, shortest).groupBy(*_KEY).agg(F.array_sort(F.collect_set("__at")).alias("__drops"))
     keyed = _keyed(docs)
     drops = drops.select(F.col("__id").alias("__of"), F.col("__print").alias("__hash"), "__drops")
     joined = keyed.join(drops, keyed["__id"].eqNullSafe(drops["__of"]) & (keyed["__print"] == drops["__hash"]), "left")
