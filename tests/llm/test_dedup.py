@@ -128,6 +128,14 @@ def test_lines(spark, documents):
     assert lines.drop_recurring_lines(documents([])).count() == 0
 
 
+def test_lines_that_share_their_lead_only(spark, documents):
+    ends = [["apple"], ["red", "brick"], ["very", "old", "song"]]
+    kept = [" ".join(["This is a", *(f"{w}{'abcdefghijkl'[i]}" for w in end)]) for end in ends for i in range(12)]
+    rows = [(k, f"{line}\nThis is a page by author {k}\nThis is a {k}") for k, line in enumerate(kept)]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_recurring_lines(documents(rows)).select("doc_id", "text").collect()}
+    assert got == {k: line for k, line in enumerate(kept)} | {0: rows[0][1]}
+
+
 def test_short_lines_go_in_the_pipeline(spark, documents):
     own = [f"{c}wn" for c in "abcdefghijkl"]
     rows = [(i, f"{own[i]}\nLes.\nPage {i}\n\n{i}\n{own[i]} line") for i in range(12)] + [(20, "Les. Page"), (21, None), (22, "")]

@@ -3,8 +3,9 @@
 Lines (split at new lines, tokens split at single blanks) go down a tree of fixed depth:
 first by their number of tokens, then by their leading tokens, where a token with a digit is
 a variable. In leaves that enough documents reach, the tokens that too few lines of the leaf
-have at their position are variable too; what remains is the line's template. Lines of a
-template that recurs across documents are dropped, but for its first line.
+have at their position are variable too; what remains is the line's template, if enough is
+constant, past the leading tokens as well. Lines of a template that recurs across documents are
+dropped, but for its first line.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from .common import written
 MIN_DOCUMENTS = 10
 #: Leading tokens that the tree looks at; shorter lines are left alone unless asked for.
 DEPTH = 3
-#: The least part of a recurring template's tokens that is constant.
+#: The least part of a recurring template's tokens that is constant; also of those past the leading ones, which all
+#: lines of a leaf share anyway. There tokens with digits do not count, as lines that differ in them only are alike.
 CONSTANT = 0.5
 VARIABLE = "<*>"
 
@@ -59,9 +61,11 @@ def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, shortes
     marked = tokens.join(constant, ["__leaf", "__pos", "__token"], "left")
     shown = F.when(F.col("__constant"), F.col("__token")).otherwise(VARIABLE)
     templates = marked.groupBy("__leaf", "__variant").agg(
-        F.array_sort(F.collect_list(F.struct("__pos", shown.alias("shown")))).alias("__shape"), F.count("__constant").alias("__kept"), F.count("*").alias("__all")
-    )
-    templates = templates.where(F.col("__kept") >= CONSTANT * F.col("__all")).select("__leaf", "__variant", F.xxhash64("__leaf", "__shape").alias("__template"))
+        F.array_sort(F.collect_list(F.struct("__pos", shown.alias("shown")))).alias("__shape"), F.count("__constant").alias("__kept"), F.count("*").alias("__all"),
+        F.count(F.when(F.col("__pos") >= DEPTH, F.col("__constant"))).alias("__kept_past"), F.count(F.when((F.col("__pos") >= DEPTH) & (F.col("__token") != VARIABLE), 1)).alias("__words_past"),
+    )
+    enough = (F.col("__kept") >= CONSTANT * F.col("__all")) & (F.col("__kept_past") >= CONSTANT * F.col("__words_past"))
+    templates = templates.where(enough).select("__leaf", "__variant", F.xxhash64("__leaf", "__shape").alias("__template"))
     placed = found.join(templates, ["__leaf", "__variant"]).select(*_KEY, "__at", "__template")
     per_document = placed.groupBy("__template", *_KEY).agg(F.min("__at").alias("__at"))
     recurring = per_document.groupBy("__template").agg(F.count("*").alias("__documents"), F.min(F.struct(*_KEY, "__at")).alias("__first"))
