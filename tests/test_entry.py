@@ -12,3 +12,9 @@ def test_flagship_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     out = entry.entry(spark)
     assert out.columns == ["group_id", "files", "bytes"] and out.count() > 0
+
+
+def test_every_oracle_is_sql():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(sql, str) for sql in entry.oracle_sql().values())

@@ -79,9 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_exact_top_k": op2_exact_top_k,
-    "op4_embedding_near_dedup": op4_embedding_near_dedup,
-    "op5_mixing_to_targets": op5_mixing_to_targets,
     "op2_exact_top_k": """
         WITH sound AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
