@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions.scalars import MB
 from ..schema import ERROR_DIGEST
 from .match import collapsed, hash_pairs
 from .order import indexed
+from .stage import materialised
 
 
 def shared_sizes(files: DataFrame) -> DataFrame:
@@ -20,11 +22,18 @@ def shared_sizes(files: DataFrame) -> DataFrame:
     return files.join(sizes, "size", "left_semi")
 
 
-def with_digests(files: DataFrame) -> DataFrame:
-    """md5 of content for rows of shared sizes; null for others, 'error' where there is no content."""
+def with_digests(files: DataFrame, digest: Column | None = None) -> DataFrame:
+    """``files`` with md5 for rows of shared sizes; null for others, 'error' where there is no content.
+
+    ``digest`` is an expression that reads a file, and is only taken of files of shared sizes;
+    without it the column digest, taken where contents were read, is used. Contents are never shuffled.
+    """
     sizes = files.groupBy("size").agg((F.count("*") > 1).alias("shared"))
-    digest = F.coalesce(F.md5(F.col("content").cast("binary")), F.lit(ERROR_DIGEST))
-    return files.join(sizes, "size").withColumn("md5", F.when(F.col("shared"), digest)).drop("shared")
+    marked = files.join(sizes, "size")
+    if digest is None:
+        return marked.withColumn("md5", F.when(F.col("shared"), F.col("digest"))).drop("shared", "digest")
+    read = marked.where("shared").withColumn("md5", digest)
+    return read.unionByName(marked.where("not shared").withColumn("md5", F.lit(None).cast("string"))).drop("shared")
 
 
 def md5_members(digested: DataFrame, singles: bool = False) -> DataFrame:
@@ -46,38 +55,53 @@ def numbered(members: DataFrame) -> DataFrame:
     return members.join(ids, "leader_idx").select("group_id", "leader_idx", "idx", "pos")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder and read again; a plain checkpoint where there is none."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir()
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/groups-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Edges that one task resolves in sequence; it holds some 50 bytes for each.
+TASK_EDGES = 4_000_000
+
+
+def _in_sequence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sequential rule over all edges, by hi: those that join, as a neighbour below them does not."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    lo, hi = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (0, 1))
+    nodes, places = np.unique(np.concatenate((lo, hi)), return_inverse=True)
+    order = np.argsort(hi, kind="stable")
+    lo, hi = places[: len(lo)][order], places[len(lo) :][order]
+    joins = bytearray(len(nodes))
+    for first in range(0, len(lo), 100_000):
+        for a, b in zip(lo[first : first + 100_000].tolist(), hi[first : first + 100_000].tolist()):
+            if not joins[a]:
+                joins[b] = 1
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[np.frombuffer(joins, bool)])], names=["rep"])
 
 
-def leaders(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def leaders(nodes: DataFrame, pairs: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """rep and leader of every node: going up the reps, a node joins its smallest neighbour that leads, or leads itself.
 
-    The sequential rule in rounds: a node with a leading lower neighbour is a member; one whose
-    lower neighbours are all members leads. Nodes whose answer waits go on to the next round.
+    ``pairs`` has lo and hi. Members alone are sought, as all others lead. In rounds, nodes
+    without a lower neighbour among the open edges lead and their neighbours join; edges with an
+    end that is decided so are dropped, and an edge's member end frees the other. What is
+    open shrinks each round, and once it fits a task, that one goes on in sequence.
     """
-    edges = _cut(pairs.select("lo", "hi"))
-    free = nodes.select("rep").join(edges.select(F.col("hi").alias("rep")).distinct(), "rep", "left_anti")
-    state = _cut(free.select("rep", F.lit(True).alias("leads")))
-    waiting = _cut(edges.select(F.col("hi").alias("rep")).distinct())
-    while not waiting.isEmpty():
-        told = edges.join(state.select(F.col("rep").alias("lo"), "leads"), "lo", "left")
-        verdict = told.join(waiting.select(F.col("rep").alias("hi")), "hi", "left_semi").groupBy("hi").agg(
-            F.coalesce(F.bool_or("leads"), F.lit(False)).alias("joins"), F.bool_or(F.col("leads").isNull()).alias("waits")
-        )
-        known = verdict.where("joins or not waits").select(F.col("hi").alias("rep"), (~F.col("joins")).alias("leads"))
-        state = _cut(state.unionAll(known))
-        waiting = _cut(verdict.where("not joins and waits").select(F.col("hi").alias("rep")))
-    heads = state.where("leads").select(F.col("rep").alias("lo"))
-    led = edges.join(heads, "lo").groupBy("hi").agg(F.min("lo").alias("leader"))
-    led = led.join(state.where("not leads").select(F.col("rep").alias("hi")), "hi")
-    return led.select(F.col("hi").alias("rep"), "leader").unionAll(heads.select(F.col("lo").alias("rep"), F.col("lo").alias("leader")))
+    edges = open_edges = materialised(pairs.select("lo", "hi"))
+    members: DataFrame | None = None
+
+    def add(more: DataFrame) -> DataFrame:
+        return more if members is None else members.unionAll(more)
+
+    while open_edges.limit(task_edges + 1).count() > task_edges:
+        lead = open_edges.select("lo").distinct().join(open_edges.select(F.col("hi").alias("lo")).distinct(), "lo", "left_anti")
+        lead = materialised(lead)
+        joining = materialised(open_edges.join(lead, "lo", "left_semi").select(F.col("hi").alias("rep")).distinct())
+        members = add(joining)
+        rest = open_edges.join(lead, "lo", "left_anti").join(joining, F.col("hi") == joining["rep"], "left_anti")
+        open_edges = materialised(rest.join(joining, F.col("lo") == joining["rep"], "left_anti"))
+    ended = open_edges.coalesce(1).mapInArrow(_in_sequence, "rep long")
+    members = materialised(add(ended))
+    joined = edges.join(members.withColumnRenamed("rep", "hi"), "hi", "left_semi").join(members.withColumnRenamed("rep", "lo"), "lo", "left_anti")
+    led = joined.groupBy(F.col("hi").alias("rep")).agg(F.min("lo").alias("leader"))
+    return nodes.select("rep").join(led, "rep", "left").withColumn("leader", F.coalesce("leader", "rep"))
 
 
 def representative_members(hashes: DataFrame, most: int, singles: bool = False) -> DataFrame:
@@ -86,7 +110,8 @@ def representative_members(hashes: DataFrame, most: int, singles: bool = False)
     ``hashes`` has idx and hash. Rows of one hash are always in one group, so the rule runs on
     distinct hashes. Not transitive: a member's neighbours need not be in its group.
     """
-    distinct = collapsed(hashes)
+    hashes = materialised(hashes.select("idx", "hash").where("hash is not null"))
+    distinct = materialised(collapsed(hashes))
     led = leaders(distinct, hash_pairs(distinct, most)) if most else distinct.select("rep", F.col("rep").alias("leader"))
     members = hashes.join(distinct.select("hash", "rep"), "hash").join(led, "rep").select(F.col("leader").alias("leader_idx"), "idx")
     placed = _placed(members)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashes import words
+from ..functions.hashes import BITS, words
 from ..functions.scalars import hamming
 
 #: Distinct hashes up to which each is held against each; a broadcast of so many rows of 48 bytes.
 NESTED_MOST = 50_000
 MOST_DISTANCE = 64
+#: Bits that may differ in a segment that is looked up.
+MOST_RADIUS = 1
 
 
 def collapsed(hashes: DataFrame) -> DataFrame:
@@ -29,38 +31,62 @@ def nested_pairs(distinct: DataFrame, most: int) -> DataFrame:
     return _verified(a.join(b, (F.col("a.rep") < F.col("b.rep")) & (hamming("a.", "b.") <= most)), most)
 
 
-def banded_pairs(distinct: DataFrame, most: int) -> DataFrame:
-    """Of most + 1 bands two hashes within ``most`` agree on one; each pair is found at its first equal band."""
-    if not 0 <= most <= MOST_DISTANCE:
-        raise ValueError(f"distances of 0 to {MOST_DISTANCE}")
+def radius_for(count: int, most: int) -> int:
+    """The bits to enumerate in each segment, so that segments have about as many values as there are hashes.
+
+    Of s segments one differs in at most ``most`` // s bits; fewer segments are longer ones.
+    """
+    radius = 0
+    while radius < min(MOST_RADIUS, most) and 1 << (BITS // (most // (radius + 1) + 1)) < count:
+        radius += 1
+    return radius
+
+
+def _segments(most: int, radius: int) -> list[tuple[int, int]]:
+    """Start and length of each of the fewest segments of which one differs in at most ``radius`` bits."""
+    pieces = most // (radius + 1) + 1
+    cuts = [BITS * k // pieces for k in range(pieces + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def banded_pairs(distinct: DataFrame, most: int, radius: int = 0) -> DataFrame:
+    """Of enough segments two hashes within ``most`` nearly agree on one: they meet at a place there and are compared whole.
+
+    With ``radius`` 1 a hash stands at a segment's value and looks at those with one of its unset
+    bits set: of two values a bit apart one lacks that bit. Joins on places are split where a
+    place is crowded; pairs that meet twice count once.
+    """
+    if not 0 <= most <= MOST_DISTANCE or not 0 <= radius <= MOST_RADIUS:
+        raise ValueError(f"distances of 0 to {MOST_DISTANCE}, radii of 0 to {MOST_RADIUS}")
     bits = F.concat(*(F.lpad(F.bin(f"w{i}"), 64, "0") for i in range(4)))
-    cuts = [256 * k // (most + 1) for k in range(most + 2)]
-    bands = F.array(*(F.substring(bits, start + 1, stop - start) for start, stop in zip(cuts, cuts[1:])))
-    whole = distinct.select("rep", "w0", "w1", "w2", "w3", bands.alias("bands"))
-    placed = whole.select("*", F.posexplode("bands").alias("band", "value"))
+    whole = distinct.select("rep", "w0", "w1", "w2", "w3", bits.alias("bits"))
+    values = [F.substring("bits", start + 1, length) for start, length in _segments(most, radius)]
+    if radius:
+        flips = [F.expr(f"transform(filter(sequence(1, {length}), i -> substring(v[{k}], i, 1) = '0'), i -> overlay(v[{k}] placing '1' from i))") for k, (_, length) in enumerate(_segments(most, radius))]
+        whole = whole.withColumn("v", F.array(*values))
+        looks = F.concat(*(F.transform(F.concat(F.array(F.col("v")[k]), flip), lambda x, k=k: F.concat(F.lit(f"{k}:"), x)) for k, flip in enumerate(flips)))
+    else:
+        looks = F.array(*(F.concat(F.lit(f"{k}:"), value) for k, value in enumerate(values)))
+    placed = whole.select("rep", "w0", "w1", "w2", "w3", F.explode(looks).alias("place")).withColumn("place", F.xxhash64("place"))
     a, b = placed.alias("a"), placed.alias("b")
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.rep") < F.col("b.rep")))
-    first = F.expr("array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true) - 1")
-    return _verified(met.where(first == F.col("a.band")), most)
+    met = a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.rep") < F.col("b.rep")) & (hamming("a.", "b.") <= most))
+    return _verified(met, most).distinct()
 
 
 def hash_pairs(distinct: DataFrame, most: int, nested_most: int = NESTED_MOST) -> DataFrame:
     """lo, hi (reps, lo < hi) and dist of all pairs of distinct hashes within ``most``.
 
-    Up to ``nested_most`` hashes, counted first, are compared each with each; beyond, hashes
-    meet in bands. At distance 0 distinct hashes have no pairs.
+    Up to ``nested_most`` hashes, counted first, are compared each with each; beyond, they
+    meet in segments. At distance 0 distinct hashes have no pairs. Copies of a hash are
+    not expanded: ``collapsed`` has their number, and :func:`representatives` which rows they are.
     """
-    if distinct.limit(nested_most + 1).count() <= nested_most:
+    count = distinct.count()
+    if count <= nested_most:
         return nested_pairs(distinct, most)
-    return banded_pairs(distinct, most)
-
+    return banded_pairs(distinct, most, radius_for(count, most))
 
-def row_pairs(hashes: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
-    """Pairs between rows: those of their hashes, and rows of one hash at distance 0."""
-    reps = hashes.where("hash is not null").select("idx", F.min("idx").over(Window.partitionBy("hash")).alias("rep"))
-    lo, hi = (reps.select(F.col("idx").alias(f"idx_{s}"), F.col("rep").alias(s)) for s in ("lo", "hi"))
-    across = pairs.where(F.col("dist") <= most).join(lo, "lo").join(hi, "hi").select("idx_lo", "idx_hi", "dist")
-    same = lo.join(hi, F.col("lo") == F.col("hi")).where("idx_lo < idx_hi").select("idx_lo", "idx_hi", F.lit(0).alias("dist"))
-    both = across.unionAll(same)
-    return both.select(F.least("idx_lo", "idx_hi").alias("lo"), F.greatest("idx_lo", "idx_hi").alias("hi"), "dist")
 
+def representatives(hashes: DataFrame) -> DataFrame:
+    """idx and rep (the smallest idx of the same hash) of every row with a hash."""
+    known = hashes.where("hash is not null").groupBy("hash").agg(F.min("idx").alias("rep"))
+    return hashes.select("idx", "hash").join(known, "hash").select("idx", "rep")

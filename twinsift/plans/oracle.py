@@ -32,8 +32,15 @@ members AS (
 stats AS (SELECT group_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, sum(size) / 1048576.0 AS mb FROM members JOIN files USING (idx) GROUP BY group_id)"""
 
 RASTER = """
-chars AS (SELECT doc_id AS idx, list_transform(string_split(left(text, 4096), ''), lambda c: CASE WHEN c = '' THEN 0 ELSE least(unicode(c), 255) END) AS c FROM documents),
-rasters AS (SELECT idx, list_resize(coalesce(c, []), 4096, 0) AS p FROM chars)"""
+chars AS (SELECT doc_id AS idx, string_split(coalesce(text, ''), '') AS c, length(coalesce(text, '')) AS n FROM documents),
+codes AS (SELECT idx, n, least(unicode(ch), 255) AS code, i FROM (SELECT idx, n, unnest(c) AS ch, generate_subscripts(c, 1) - 1 AS i FROM chars WHERE n > 0)),
+pixels AS (SELECT idx, k, CAST(sum(code) AS BIGINT) // count(*) AS v FROM (SELECT idx, code, CASE WHEN n <= 4096 THEN i ELSE ((i + 1) * 4096 - 1) // n END AS k FROM codes) GROUP BY idx, k),
+rasters AS (SELECT idx, list_resize(coalesce(p, []), 4096, 0) AS p FROM chars LEFT JOIN (SELECT idx, list(v ORDER BY k) AS p FROM pixels GROUP BY idx) USING (idx))"""
+
+EMBEDDED = """
+rasters AS (
+  SELECT vec_id AS idx, list_transform(range(4096), lambda k: CAST(greatest(0, least(255, floor(128 + 255 * CAST(embedding[(k % 64 + k // 64 // 4) % 64 + 1] AS DOUBLE)))) AS BIGINT)) AS p FROM embeddings
+)"""
 
 _BITS = "array_to_string(list_transform({values}, lambda v: CASE WHEN {test} THEN '1' ELSE '0' END), '')"
 
@@ -63,9 +70,9 @@ HASHES = {
 }
 
 
-def hashed(algorithm: str) -> str:
+def hashed(algorithm: str, raster: str = RASTER) -> str:
     """WITH parts that end in hashed (idx, bits)."""
-    return f"{RASTER}{HASHES[algorithm]}"
+    return f"{raster}{HASHES[algorithm]}"
 
 
 def representative(algorithm: str, most: int, least: int = 2) -> str:

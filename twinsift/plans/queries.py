@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..functions.hashes import bits_text, hasher
+from ..functions.hashes import bits_text, hasher, words
 from ..operators import cache, group, keep, match, view
+from ..operators.stage import materialised
 from ..schema import ALGORITHM_TABLE, ALGORITHMS, DISPLAY_ORDER
-from ..sources.tables import library, rasters_from_documents, rasters_from_embeddings
+from ..sources.tables import files_from_documents, library, rasters_from_documents, rasters_from_embeddings
 from . import oracle as sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +34,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return library(_table(spark, sf_dir, "documents"))
+def _files(spark: SparkSession, sf_dir: str, digests: bool = True) -> DataFrame:
+    return library(_table(spark, sf_dir, "documents"), digests)
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files where their order does not matter."""
+    return files_from_documents(_table(spark, sf_dir, "documents"))
 
 
 def _members(files: DataFrame, singles: bool = False) -> DataFrame:
@@ -50,17 +56,17 @@ def _stats(files: DataFrame) -> DataFrame:
 
 @_query(f"WITH {sql.FILES} SELECT path, name, suffix, category, size, mtime FROM files")
 def scan_classify(spark, sf_dir):
-    return _files(spark, sf_dir).select("path", "name", "suffix", "category", "size", "mtime")
+    return _listing(spark, sf_dir).select("path", "name", "suffix", "category", "size", "mtime")
 
 
 @_query(f"WITH {sql.FILES} SELECT idx, path FROM files")
 def scan_order(spark, sf_dir):
-    return _files(spark, sf_dir).select("idx", "path")
+    return _files(spark, sf_dir, False).select("idx", "path")
 
 
 @_query(f"WITH {sql.FILES} SELECT category, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY category")
 def category_counts(spark, sf_dir):
-    return _files(spark, sf_dir).groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+    return _listing(spark, sf_dir).groupBy("category").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 
 
 @_query(f"WITH {sql.FILES} SELECT path FROM (SELECT path, CASE WHEN doc_id % 50 = 0 THEN '.TwinSift_cache.' || name ELSE name END AS shown FROM files) WHERE NOT starts_with(lower(shown), '.twinsift_cache.')")
@@ -73,7 +79,7 @@ def exclude_cache_files(spark, sf_dir):
 
 @_query(f"WITH {sql.FILES} SELECT path FROM files WHERE category = 'image'")
 def perceptual_scope(spark, sf_dir):
-    return _files(spark, sf_dir).where("category = 'image'").select("path")
+    return _listing(spark, sf_dir).where("category = 'image'").select("path")
 
 
 _WIDTH, _HEIGHT = "CAST(doc_id % 97 * 90 + 1 AS INT) AS width", "CAST(doc_id % 89 * 80 + 1 AS INT) AS height"
@@ -81,7 +87,7 @@ _DIMS = f"{_WIDTH}, {_HEIGHT}"
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _files(spark, sf_dir).selectExpr("*", _WIDTH, _HEIGHT)
+    return _listing(spark, sf_dir).selectExpr("*", _WIDTH, _HEIGHT)
 
 
 @_query(f"""WITH {sql.FILES}, sized AS (SELECT *, {_DIMS} FROM files)
@@ -105,7 +111,7 @@ def requested_size(spark, sf_dir):
 
 @_query(f"WITH {sql.FILES} SELECT idx, size FROM files WHERE size IN (SELECT size FROM files GROUP BY size HAVING count(*) > 1)")
 def size_collisions(spark, sf_dir):
-    return group.shared_sizes(_files(spark, sf_dir)).select("idx", "size")
+    return group.shared_sizes(_files(spark, sf_dir, False)).select("idx", "size")
 
 
 @_query(f"WITH {sql.MD5} SELECT idx, md5 FROM digested")
@@ -127,7 +133,7 @@ def md5_groups_singles(spark, sf_dir):
 
 @_query("WITH d AS (SELECT md5(html) AS md5 FROM pages GROUP BY html HAVING count(*) > 1) SELECT count(*) AS groups FROM d")
 def md5_groups_pages(spark, sf_dir):
-    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.octet_length("html").alias("size"), F.col("html").alias("content"))
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("idx"), F.octet_length("html").alias("size"), F.md5(F.col("html").cast("binary")).alias("digest"))
     return group.md5_members(group.with_digests(pages)).agg(F.count_distinct("leader_idx").alias("groups"))
 
 
@@ -145,7 +151,7 @@ for _algorithm in sql.HASHES:
         return _hashes(spark, sf_dir, algorithm).select("idx", bits_text("hash").alias("bits"))
 
 
-@_query()
+@_query(f"WITH {sql.hashed('bhash', sql.EMBEDDED)} SELECT idx, bits FROM hashed")
 def bhash_embeddings(spark, sf_dir):
     return rasters_from_embeddings(_table(spark, sf_dir, "embeddings")).select("idx", bits_text(hasher("bhash")("gray")).alias("bits"))
 
@@ -163,17 +169,25 @@ def hash_collapse(spark, sf_dir):
     return match.collapsed(_hashes(spark, sf_dir, "dhash")).select("rep", "copies")
 
 
+@_query(f"WITH {sql.hashed('dhash')} SELECT idx, min(idx) OVER (PARTITION BY bits) AS rep FROM hashed")
+def hash_members(spark, sf_dir):
+    return match.representatives(_hashes(spark, sf_dir, "dhash"))
+
+
+_NODES = "n AS (SELECT min(idx) AS rep, count(*) AS copies, bits FROM hashed GROUP BY bits)"
+_PAIRS = "SELECT a.rep AS lo, b.rep AS hi, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM n a JOIN n b ON a.rep < b.rep AND hamming(a.bits, b.bits) <= {}"
 for _most in (4, 16):
 
-    @_query(f"WITH {sql.hashed('dhash')} SELECT a.idx AS lo, b.idx AS hi, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM hashed a JOIN hashed b ON a.idx < b.idx AND hamming(a.bits, b.bits) <= {_most}", f"hamming_pairs_t{_most}")
+    @_query(f"WITH {sql.hashed('dhash')}, {_NODES} {_PAIRS.format(_most)}", f"hamming_pairs_t{_most}")
     def _pairs_query(spark, sf_dir, most=_most):
-        hashes = _hashes(spark, sf_dir, "dhash")
-        return match.row_pairs(hashes, match.hash_pairs(match.collapsed(hashes), most), most)
+        return match.hash_pairs(materialised(match.collapsed(_hashes(spark, sf_dir, "dhash"))), most)
+
 
+for _name, _most, _radius in (("hamming_pairs_banded", 8, 0), ("hamming_pairs_radius", 16, 1)):
 
-@_query(f"WITH {sql.hashed('dhash')}, n AS (SELECT min(idx) AS rep, bits FROM hashed GROUP BY bits) SELECT a.rep AS lo, b.rep AS hi, CAST(hamming(a.bits, b.bits) AS INT) AS dist FROM n a JOIN n b ON a.rep < b.rep AND hamming(a.bits, b.bits) <= 8")
-def hamming_pairs_banded(spark, sf_dir):
-    return match.banded_pairs(match.collapsed(_hashes(spark, sf_dir, "dhash")), 8)
+    @_query(f"WITH {sql.hashed('dhash')}, {_NODES} {_PAIRS.format(_most)}", _name)
+    def _banded_query(spark, sf_dir, most=_most, radius=_radius):
+        return match.banded_pairs(materialised(match.collapsed(_hashes(spark, sf_dir, "dhash"))), most, radius)
 
 
 for _name, _algorithm, _most, _least in (("rep_groups_dhash_t4", "dhash", 4, 2), ("rep_groups_ahash_t4", "ahash", 4, 2), ("rep_groups_bhash_t4", "bhash", 4, 2), ("rep_groups_dhash_t16", "dhash", 16, 2), ("rep_groups_singles", "dhash", 4, 1)):
@@ -186,10 +200,8 @@ for _name, _algorithm, _most, _least in (("rep_groups_dhash_t4", "dhash", 4, 2),
 @_query(f"""WITH RECURSIVE {sql.representative('dhash', 16)} SELECT m.idx, CAST(CASE WHEN m.pos = 0 THEN 100 ELSE 100 - hamming(a.bits, b.bits) * 100 // 256 END AS BIGINT) AS similarity
   FROM members m JOIN hashed a ON a.idx = m.leader_idx JOIN hashed b ON b.idx = m.idx""")
 def similarity_pct(spark, sf_dir):
-    hashes = _hashes(spark, sf_dir, "dhash")
+    hashes = materialised(_hashes(spark, sf_dir, "dhash"))
     members = group.representative_members(hashes, 16)
-    from ..functions.hashes import words
-
     of = hashes.select("idx", *words("hash"))
     both = members.join(of.alias("m"), "idx").join(of.withColumnRenamed("idx", "leader_idx").alias("l"), "leader_idx")
     measured = both.select("idx", "pos", scalars.hamming("m.", "l.").alias("dist"))
@@ -257,7 +269,7 @@ def group_label(spark, sf_dir):
 
 @_query(f"WITH {sql.FILES} SELECT idx, printf('%.2f MB', size / 1048576.0) AS size_text FROM files")
 def size_text(spark, sf_dir):
-    return _files(spark, sf_dir).select("idx", scalars.size_text().alias("size_text"))
+    return _files(spark, sf_dir, False).select("idx", scalars.size_text().alias("size_text"))
 
 
 @_query(f"WITH {sql.MD5} SELECT group_id, idx, CAST(pos // 12 AS INT) AS page FROM members")
@@ -267,7 +279,7 @@ def page_members(spark, sf_dir):
 
 @_query(f"WITH {sql.FILES}, failed AS (SELECT path FROM files WHERE doc_id % 7 = 0) SELECT path, (SELECT greatest(count(*) - 12, 0) FROM failed) AS more FROM failed ORDER BY path LIMIT 12")
 def failure_list(spark, sf_dir):
-    files = _files(spark, sf_dir)
+    files = _listing(spark, sf_dir)
     results = files.select("path", F.when(F.col("doc_id") % 7 == 0, "failed").otherwise("deleted").alias("status"))
     return view.failures(results)
 
@@ -354,19 +366,19 @@ def _cached(files: DataFrame) -> DataFrame:
 
 @_query(f"WITH {sql.FILES}, {_CACHE} SELECT path AS rel_path, c.md5, c.rel_path IS NOT NULL AS hit FROM files f LEFT JOIN cached c ON c.rel_path = f.path AND c.mtime = f.mtime AND c.size = f.size")
 def cache_lookup(spark, sf_dir):
-    files = _files(spark, sf_dir)
+    files = _listing(spark, sf_dir)
     return cache.lookup(files.select(F.col("path").alias("rel_path"), "mtime", "size"), _cached(files)).select("rel_path", "md5", "hit")
 
 
 @_query(f"WITH {sql.FILES}, {_CACHE}, new AS (SELECT path AS rel_path, mtime, size, md5(content) AS md5 FROM files WHERE doc_id % 4 = 0) SELECT * FROM new UNION ALL SELECT * FROM cached WHERE rel_path NOT IN (SELECT rel_path FROM new)")
 def cache_upsert(spark, sf_dir):
-    files = _files(spark, sf_dir)
+    files = _listing(spark, sf_dir)
     new = files.where("doc_id % 4 = 0").select(F.col("path").alias("rel_path"), "mtime", "size", F.md5(F.col("content").cast("binary")).alias("md5"))
     return cache.upsert(_cached(files), new)
 
 
 @_query(f"WITH {sql.FILES}, {_CACHE} SELECT rel_path FROM cached JOIN files ON path = rel_path WHERE category <> 'image' AND doc_id % 3 = 0")
 def cache_purge(spark, sf_dir):
-    files = _files(spark, sf_dir)
+    files = _listing(spark, sf_dir)
     scan = files.where("category = 'image'").select(F.col("path").alias("rel_path"))
     return cache.missing(_cached(files), scan, files.where("doc_id % 3 <> 0").select(F.col("path").alias("rel_path")))
