@@ -52,9 +52,9 @@ def test_mixture_meets_targets(spark, documents):
     mixed, domains = mixing.mixture(documents(rows), labelled, targets)
     out = mixed.collect()
     assert domains == names and len(out) == len(rows)
-    tokens_of = np.array([r["__tokens"] for r in out], float)
-    posterior = np.array([r["__posterior"] for r in out])
-    rates = np.array([r["__rate"] for r in out])
+    tokens_of = np.array([r["tokens"] for r in out], float)
+    posterior = np.array([r["posterior"] for r in out])
+    rates = np.array([r["rate"] for r in out])
     assert np.allclose(posterior.sum(axis=1), 1)
     got = (rates * tokens_of) @ posterior / tokens_of.sum()
     assert (rates >= 0).all() and np.abs(got - [0.6, 0.3, 0.1]).max() < 1e-3
@@ -68,15 +68,19 @@ def test_mixture_meets_targets(spark, documents):
         r = np.maximum(0, r - posterior @ ((now - target) / first))
     assert np.allclose(r, rates, atol=1e-4)
     back = mixing.mix(documents(rows), labelled, targets)
-    assert back.columns == documents([]).columns and back.count() == sum(x["__copies"] for x in out)
+    assert back.columns == documents([]).columns and back.count() == sum(x["copies"] for x in out)
     assert mixing.quality_domains(spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")).where("domain is null").count() == 1
-    with pytest.raises(ValueError):
-        mixing.mixture(documents([]), labelled)
+    for docs, labels in ((documents([]), labelled), (documents(rows), labelled.limit(0)), (documents(rows), labelled.where("domain is null"))):
+        unlabelled, none = mixing.mixture(docs, labels, targets)
+        assert none == [] and all((r["posterior"], r["rate"], r["copies"]) == ([], 1.0, 1) for r in unlabelled.collect())
+        assert sorted(map(str, mixing.mix(docs, labels, targets).collect())) == sorted(map(str, docs.collect()))
+    with pytest.raises(ValueError, match="domains"):
+        mixing.mixture(documents(rows), spark.createDataFrame([(i, f"d{i}") for i in range(90)], "doc_id long, domain string"), targets)
 
 
 def _members(spark, posterior, tokens_of):
     rows = [(int(t), [float(x) for x in p]) for t, p in zip(tokens_of, posterior)]
-    return spark.createDataFrame(rows, "__tokens long, __posterior array<double>")
+    return spark.createDataFrame(rows, "tokens long, posterior array<double>")
 
 
 def test_overlapping_domains_meet_targets(spark):
@@ -129,7 +133,7 @@ def test_permutation_and_round_trip(spark, documents, tmp_path):
     assert sorted(r["slot"] for r in out) == list(range(count))
     parts = {}
     for r in out:
-        with open(r["file"], "rb") as file:
+        with open(r["file"].removeprefix("file:"), "rb") as file:
             file.seek(r["offset"])
             parts[r["sequence"]] = file.read(128)[: 2 * r["n_tokens"]]
         assert r["shard"] == r["slot"] // 8

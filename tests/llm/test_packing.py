@@ -26,7 +26,7 @@ def test_every_entry_is_what_its_symbols_merge_to():
     """With this, merging by the rank of the merged entry is merging by the vocabulary's list."""
     import json
 
-    with open(tokens.DEFAULT_VOCABULARY, encoding="utf-8") as file:
+    with open(tokens.located(tokens.DEFAULT_VOCABULARY), encoding="utf-8") as file:
         model = json.load(file)["model"]
     ranks = {tuple(pair if isinstance(pair, list) else pair.split(" ")): n for n, pair in enumerate(model["merges"])}
     for entry in model["vocab"]:

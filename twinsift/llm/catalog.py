@@ -33,9 +33,9 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.quality_domains(_table(spark, sf_dir, "labels"))
-    mixed, domains = mixing.mixture(_table(spark, sf_dir, "documents").select("doc_id", "text"), labelled)
-    posteriors = [F.col("__posterior")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
-    return mixed.select("doc_id", F.col("__tokens").alias("tokens"), *posteriors, F.col("__rate").alias("rate"), F.col("__copies").alias("copies"))
+    mixed, learned = mixing.mixture(_table(spark, sf_dir, "documents"), labelled)
+    posteriors = [(F.col("posterior")[learned.index(d)] if d in learned else F.lit(None).cast("double")).alias(f"p_{d}") for d in mixing.TARGETS]
+    return mixed.select("doc_id", "tokens", *posteriors, "rate", "copies")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

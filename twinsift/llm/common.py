@@ -34,3 +34,11 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
 def column(batch, name: str) -> list:
     """One column of an Arrow batch as Python objects."""
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores behind it until none of ``columns`` is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .tokens import located
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: A name among the public tokenizers, or a path.
+DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 UNKNOWN = "und"
 #: More languages than this are an error: the model holds languages x vocabulary numbers on each worker.
 MOST_LANGUAGES = 256
@@ -159,7 +161,7 @@ def piece_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sentencepiece import SentencePieceProcessor
 
-        encode = SentencePieceProcessor(model_file=vocabulary).encode
+        encode = SentencePieceProcessor(model_file=located(vocabulary)).encode
         known: dict[str, list[int]] = {}
         totals: dict[str, Counter] = {}
         for batch in batches:
@@ -205,7 +207,7 @@ def fit(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> tuple[list[str
     """
     from sentencepiece import SentencePieceProcessor
 
-    size = SentencePieceProcessor(model_file=vocabulary).get_piece_size()
+    size = SentencePieceProcessor(model_file=located(vocabulary)).get_piece_size()
     counted = written(piece_counts(docs, vocabulary))
     texts = counted.where("piece = -1").select("lang", "n").limit(MOST_LANGUAGES + 1).collect()
     if len(texts) > MOST_LANGUAGES:
@@ -227,7 +229,7 @@ class Predictor:
         from sentencepiece import SentencePieceProcessor
 
         self.languages, self.prior, probabilities = model
-        pieces = SentencePieceProcessor(model_file=vocabulary)
+        pieces = SentencePieceProcessor(model_file=located(vocabulary))
         self.scorer = Scorer(Segmenter([pieces.id_to_piece(i) for i in range(pieces.get_piece_size())], probabilities))
 
     def __call__(self, texts: pa.Array) -> list[tuple[str, float]]:

@@ -103,57 +103,107 @@ def _units(vectors: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _places(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
-    """cell, rep, mine: where each vector stands (mine) and looks. Vectors of unlike dimension never meet."""
+def _signed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
+    """rep, copies and vector with its cells: own (one of each table) and probed (table by table). Vectors of unlike dimension never meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Cells] = {}
         for batch in batches:
-            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            sizes = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
                 cells = made.setdefault(size, Cells(size, tables, probes))
-                reps = part.column(0).to_numpy()
-                own, probed = cells(_units(part.column(1)))
-                own_at = own.ravel().view(np.int64)
-                probed_at = probed.reshape(-1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate((own_at, probed_at))),
-                        pa.array(np.concatenate((np.repeat(reps, tables), np.repeat(reps, probed.shape[1] * probed.shape[2])))),
-                        pa.array(np.concatenate((np.ones(len(own_at), bool), np.zeros(len(probed_at), bool)))),
-                    ],
-                    names=["cell", "rep", "mine"],
-                )
-
-    return vectors.select("rep", "vector").mapInArrow(run, "cell long, rep long, mine boolean")
-
-
-def _verified(group: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one group by cosine, between those that stand there and all of its vectors."""
-    reps = group["rep"].to_numpy()
+                own, probed = (x.reshape(part.num_rows, -1).view(np.int64) for x in cells(_units(part.column(2))))
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64())) for x in (own, probed)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], names=["rep", "copies", "vector", "own", "probed"])
+
+    return vectors.select("rep", "copies", "vector").mapInArrow(run, "rep long, copies long, vector array<double>, own array<long>, probed array<long>")
+
+
+def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links that join what the symmetric matrix ``near`` joins: each row is reached once."""
+    left, right = [], []
+    open_rows = near.any(axis=1)
+    while open_rows.any():
+        queue = [int(open_rows.argmax())]
+        open_rows[queue[0]] = False
+        while queue:
+            at = queue.pop()
+            hit = np.flatnonzero(near[at] & open_rows).tolist()
+            open_rows[hit] = False
+            left += [at] * len(hit)
+            right += hit
+            queue += hit
+    return left, right
+
+
+FOREST, PAIR, DEGREE = 0, 1, 2
+
+
+def _verified(group: pa.Table, least: float) -> list[tuple[np.ndarray, ...]]:
+    """The links of one group as rows (kind, a, b, for_a, for_b).
+
+    A pair that stands together in several tables counts in the first of these; there each of
+    the two gets the other's copies as a degree, and links that join the same are enough. One
+    that never stands together is met by probing, maybe more than once, and stays a pair.
+    """
+    group = group.take(pa.array(np.unique(group["rep"].to_numpy(), return_index=True)[1]))
+    reps, copies, table = group["rep"].to_numpy(), group["copies"].to_numpy(), group["tab"][0].as_py()
+    mine, block = group["mine"].to_numpy(zero_copy_only=False).astype(bool), group["block"].to_numpy()
+    own = np.array(group["own"].to_pylist(), np.int64)
     units = _units(group["vector"].combine_chunks())
-    mine = group["mine"].to_numpy(zero_copy_only=False).astype(bool)
-    near = units[mine] @ units.T >= least
+    stands = np.flatnonzero(mine)
+    near = units[stands] @ units.T >= least
+    near[np.arange(len(stands)), stands] = False
+    if not group["same"][0].as_py():  # pairs within a block meet in a group of their own
+        near &= block[stands][:, None] != block[None, :]
+    if not near.any():
+        return []
+    out = []
+    both = near[:, stands]
+    for t in range(table):
+        both &= own[stands, t][:, None] != own[stands, t][None, :]
+    degree = both @ copies[stands]
+    some = degree > 0
+    if some.any():
+        left, right = spanning(both.copy())
+        joined = reps[stands]
+        out.append((FOREST, joined[left], joined[right], np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)))
+        out.append((DEGREE, joined[some], joined[some], degree[some], np.zeros(int(some.sum()), np.int64)))
+    near[:, stands] = False
     i, j = np.nonzero(near)
-    a, b = reps[mine][i], reps[j]
-    return np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+    i = stands[i]
+    apart = (own[i] != own[j]).all(axis=1)
+    i, j = i[apart], j[apart]
+    i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
+    out.append((PAIR, reps[i], reps[j], copies[j], copies[i]))
+    return out
 
 
 def vector_links(vectors: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
-    """Links (a, b), a < b, of distinct ``vectors`` (rep long, vector array<double>) found with a cosine of ``least``.
-
-    Cells where nobody meets are left before vectors are sent. A cell beyond ``block`` is cut
-    into blocks by a hash; every two of its blocks meet in a group of their own.
+    """What links distinct ``vectors`` (rep long, copies long, vector array<double>) with a cosine of ``least``: kind, a, b, for_a, for_b.
+
+    Links that stand together in a cell of some table come as ``DEGREE`` rows, in parts to be
+    added up (for_a: linked copies of a), and as ``FOREST`` links (a, b) that join the same;
+    their number does not grow with the square of a group. Other links come as distinct
+    ``PAIR`` rows with what they add to the degrees of both ends. Cells where nobody meets are
+    left before vectors are sent. A cell beyond ``block`` is cut into blocks by a hash; every
+    two of its blocks meet in a group of their own.
     """
-    places = written(_places(vectors, tables, probes).groupBy("cell", "rep").agg(F.max("mine").alias("mine")))
-    met = places.groupBy("cell").agg(F.count("*").alias("all"), F.count_if("mine").alias("standing")).where("all > 1 and standing > 0")
-    met = met.select("cell", F.ceil(F.col("all") / block).alias("blocks"))
-    found = places.join(met, "cell")
+    signed = written(_signed(vectors, tables, probes))
+    stand = signed.select("rep", F.posexplode("own").alias("tab", "cell"), F.lit(True).alias("mine"))
+    look = signed.select("rep", F.posexplode("probed").alias("at", "cell"))
+    look = look.select("rep", F.expr(f"cast(at div {2 * probes} as int)").alias("tab"), "cell", F.lit(False).alias("mine"))
+    places = stand.unionAll(look)
+    met = places.groupBy("tab", "cell").agg(F.count("*").alias("all"), F.count_if("mine").alias("standing")).where("all > 1 and standing > 0")
+    # written, so that the join can split the rows of a crowded cell
+    met = written(met.select("tab", "cell", F.ceil(F.col("all") / block).alias("blocks")))
+    found = places.join(met, ["tab", "cell"])
     own = F.expr("cast(pmod(xxhash64(rep, 11L), blocks) as long)")
-    found = found.select("cell", "rep", "mine", own.alias("own"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    group = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    found = found.select(group.alias("group"), "rep", "mine").join(vectors, "rep").select("group", "rep", "mine", "vector")
+    found = found.select("tab", "cell", "rep", "mine", own.alias("block"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    group = F.xxhash64("tab", "cell", F.least("block", "other"), F.greatest("block", "other"))
+    found = found.select(group.alias("group"), "tab", "rep", "mine", "block", (F.col("block") == F.col("other")).alias("same"))
+    found = found.join(signed.drop("probed"), "rep").select("group", "tab", "rep", "mine", "block", "same", "copies", "own", "vector")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -171,23 +221,18 @@ def vector_links(vectors: DataFrame, least: float = COSINE, tables: int = TABLES
             groups = table["group"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))).tolist() + [len(groups)]
             whole = len(starts) - (1 if ended else 2)
-            left, right = [], []
-            for start, stop in zip(starts[:whole], starts[1:]):
-                if stop - start > 1:
-                    a, b = _verified(table.slice(start, stop - start), least)
-                    left.append(a)
-                    right.append(b)
+            made = [row for start, stop in zip(starts[:whole], starts[1:]) if stop - start > 1 for row in _verified(table.slice(start, stop - start), least)]
             held = table.slice(starts[whole]).to_batches()
-            if left:
-                pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
-                for at in range(0, len(pairs), 50_000):
-                    part = pairs[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1])], names=["a", "b"])
+            for kind, *columns in made:
+                for at in range(0, len(columns[0]), 50_000):
+                    part = [pa.array(np.ascontiguousarray(c[at : at + 50_000])) for c in columns]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *part], names=["kind", "a", "b", "for_a", "for_b"])
 
-    return found.repartition("group").sortWithinPartitions("group").mapInArrow(link, "a long, b long").distinct()
+    made = written(found.repartition("group").sortWithinPartitions("group").mapInArrow(link, "kind byte, a long, b long, for_a long, for_b long"))
+    return made.where(f"kind <> {PAIR}").unionAll(made.where(f"kind = {PAIR}").distinct())
 
 
-def near_vectors(rows: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = COSINE, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``rows`` (vec_id, embedding; others are ignored).
 
     Equal vectors are compared once and count as links of each other. Null, empty and zero
@@ -200,15 +245,14 @@ def near_vectors(rows: DataFrame, least: float = COSINE, tables: int = TABLES, p
     # -0.0 and 0.0 are one
     vectors = rows.where(usable).withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     named = written(vectors.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.xxhash64("vector")))
-    links = written(vector_links(named.select("rep", "vector"), least, tables, probes))
-    roots = connected_components(links)
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weights = named.select(F.col("rep").alias("b"), "copies")
-    linked = both.join(weights, "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    known = named.join(linked.withColumnRenamed("a", "rep"), "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    links = written(vector_links(named, least, tables, probes, block))
+    roots = connected_components(links.where(f"kind <> {DEGREE}"))
+    ends = links.select("a", "for_a").unionAll(links.where(f"kind = {PAIR}").select("b", "for_b"))
+    linked = ends.groupBy(F.col("a").alias("rep")).agg(F.sum("for_a").alias("others"))
+    known = named.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     known = written(known.select("vector", "first", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root")))
-    least_id = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    known = known.join(least_id, "root").select("vector", "n_links", "component_id")
+    least_id = written(known.groupBy("root").agg(F.min("first").alias("component_id")))
+    known = written(known.join(least_id, "root").select("vector", "n_links", "component_id"))
     keyed = rows.withColumn("vector", F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0))))
     out = keyed.join(known, "vector", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn(

@@ -10,90 +10,84 @@ dropped, but for its first line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 
 #: A template recurs from this many documents on; a token is constant from this many lines on.
 MIN_DOCUMENTS = 10
-#: Leading tokens that the tree looks at; shorter lines are left alone unless asked for.
+#: Leading tokens that the tree looks at; shorter lines are told apart by the tokens that they have.
 DEPTH = 3
 #: The least part of a recurring template's tokens that is constant; also of those past the leading ones, which all
 #: lines of a leaf share anyway. There tokens with digits do not count, as lines that differ in them only are alike.
 CONSTANT = 0.5
 VARIABLE = "<*>"
 
-_KEY = ["__id", "__print"]
+_KEY = ["id", "print"]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows by doc_id and a hash of the text: repeated rows share a key, and get the same lines dropped."""
-    return docs.withColumns({"__id": F.col("doc_id"), "__print": F.xxhash64("text")})
-
-
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["__id"].eqNullSafe(b["__id"]) & (a["__print"] == b["__print"])
-
-
-def _lines(docs: DataFrame, shortest: int) -> DataFrame:
-    lines = _keyed(docs).select(*_KEY, F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
-    tokens = F.length("__line") - F.length(F.replace("__line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("__tokens", tokens).where((F.col("__tokens") >= shortest) & (F.trim("__line") != ""))
-    head = F.split("__line", " ", DEPTH + 1)
+def _lines(rows: DataFrame) -> DataFrame:
+    lines = rows.select(*_KEY, F.posexplode(F.split("text", "\n")).alias("at", "line")).where(F.trim("line") != "")
+    tokens = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    head = F.split("line", " ", DEPTH + 1)
     # a null past a shorter line's end adds nothing to the hash, which has the number of tokens
     leading = [F.get(head, F.lit(i)) for i in range(DEPTH)]
     lead = [F.when(t.rlike("[0-9]"), VARIABLE).otherwise(t) for t in leading]
-    return lines.withColumn("__leaf", F.xxhash64("__tokens", *lead)).drop("__tokens")
-
-
-def recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, shortest: int = DEPTH) -> DataFrame:
-    """The lines to drop, of ``shortest`` tokens or more: __id, __print (key of the row) and __at (line number from 0)."""
-    lines = _lines(docs, shortest)
-    leaves = lines.select(*_KEY, "__leaf").distinct().groupBy("__leaf").count().where(F.col("count") >= min_documents)
-    found = lines.join(leaves.select("__leaf"), "__leaf", "left_semi")
-    found = found.withColumn("__line", F.regexp_replace("__line", "[^ ]*[0-9][^ ]*", VARIABLE))
-    found = written(found.withColumn("__variant", F.xxhash64("__line")))
-    variants = found.groupBy("__leaf", "__variant").agg(F.first("__line").alias("__line"), F.count("*").alias("__n"))
-    tokens = written(variants.select("__leaf", "__variant", "__n", F.posexplode(F.split("__line", " ")).alias("__pos", "__token")))
-    constant = tokens.groupBy("__leaf", "__pos", "__token").agg(F.sum("__n").alias("__support"))
-    constant = constant.where((F.col("__support") >= min_documents) & (F.col("__token") != VARIABLE)).drop("__support").withColumn("__constant", F.lit(True))
-    marked = tokens.join(constant, ["__leaf", "__pos", "__token"], "left")
-    shown = F.when(F.col("__constant"), F.col("__token")).otherwise(VARIABLE)
-    templates = marked.groupBy("__leaf", "__variant").agg(
-        F.array_sort(F.collect_list(F.struct("__pos", shown.alias("shown")))).alias("__shape"), F.count("__constant").alias("__kept"), F.count("*").alias("__all"),
-        F.count(F.when(F.col("__pos") >= DEPTH, F.col("__constant"))).alias("__kept_past"), F.count(F.when((F.col("__pos") >= DEPTH) & (F.col("__token") != VARIABLE), 1)).alias("__words_past"),
+    return lines.withColumn("leaf", F.xxhash64(tokens, *lead))
+
+
+def _recurring(rows: DataFrame, min_documents: int) -> DataFrame:
+    """id, print (key of the row) and at (line number from 0) of the lines to drop, of ``rows`` (id, print, text).
+
+    What is joined to the lines is written first: a side that is no aggregate lets the join
+    split the rows of a line, leaf or template that a great part of the documents has.
+    """
+    lines = _lines(rows)
+    leaves = written(lines.select(*_KEY, "leaf").distinct().groupBy("leaf").count().where(F.col("count") >= min_documents).select("leaf"))
+    found = lines.join(leaves, "leaf", "left_semi")
+    found = found.withColumn("line", F.regexp_replace("line", "[^ ]*[0-9][^ ]*", VARIABLE))
+    found = written(found.withColumn("variant", F.xxhash64("line")))
+    variants = found.groupBy("leaf", "variant").agg(F.first("line").alias("line"), F.count("*").alias("n"))
+    tokens = written(variants.select("leaf", "variant", "n", F.posexplode(F.split("line", " ")).alias("pos", "token")))
+    constant = tokens.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("support"))
+    constant = constant.where((F.col("support") >= min_documents) & (F.col("token") != VARIABLE)).drop("support").withColumn("constant", F.lit(True))
+    marked = tokens.join(constant, ["leaf", "pos", "token"], "left")
+    shown = F.when(F.col("constant"), F.col("token")).otherwise(VARIABLE)
+    past = F.col("pos") >= DEPTH
+    templates = marked.groupBy("leaf", "variant").agg(
+        F.array_sort(F.collect_list(F.struct("pos", shown.alias("shown")))).alias("shape"), F.count("constant").alias("kept"), F.count("*").alias("all"),
+        F.count(F.when(past, F.col("constant"))).alias("kept_past"), F.count(F.when(past & (F.col("token") != VARIABLE), 1)).alias("words_past"),
     )
-    enough = (F.col("__kept") >= CONSTANT * F.col("__all")) & (F.col("__kept_past") >= CONSTANT * F.col("__words_past"))
-    templates = templates.where(enough).select("__leaf", "__variant", F.xxhash64("__leaf", "__shape").alias("__template"))
-    placed = found.join(templates, ["__leaf", "__variant"]).select(*_KEY, "__at", "__template")
-    per_document = placed.groupBy("__template", *_KEY).agg(F.min("__at").alias("__at"))
-    recurring = per_document.groupBy("__template").agg(F.count("*").alias("__documents"), F.min(F.struct(*_KEY, "__at")).alias("__first"))
-    recurring = recurring.where(F.col("__documents") >= min_documents).drop("__documents")
-    line = F.struct(*_KEY, "__at")
-    return placed.join(recurring, "__template").where(~line.eqNullSafe(F.col("__first"))).select(*_KEY, "__at")
+    enough = (F.col("kept") >= CONSTANT * F.col("all")) & (F.col("kept_past") >= CONSTANT * F.col("words_past"))
+    templates = written(templates.where(enough).select("leaf", "variant", F.xxhash64("leaf", "shape").alias("template")))
+    placed = written(found.select(*_KEY, "at", "leaf", "variant").join(templates, ["leaf", "variant"]).select(*_KEY, "at", "template"))
+    per_document = placed.groupBy("template", *_KEY).agg(F.min("at").alias("at"))
+    recurring = per_document.groupBy("template").agg(F.count("*").alias("documents"), F.min(F.struct(*_KEY, "at")).alias("first"))
+    recurring = written(recurring.where(F.col("documents") >= min_documents).drop("documents"))
+    line = F.struct(*_KEY, "at")
+    return placed.join(recurring, "template").where(~line.eqNullSafe(F.col("first"))).select(*_KEY, "at")
 
 
-def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, shortest: int = DEPTH) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``docs`` with recurring lines taken out of text, and n_lines and n_dropped added.
 
-    A null text stays null and has no lines; a text all of whose lines go is empty. Repeated
-    rows lose the same lines and count as one document. Lines of fewer than ``shortest`` tokens stay. Other columns are untouched, but for
-    names that begin with two underscores, and n_lines and n_dropped, which are replaced.
+    A null text stays null and has no lines; a text all of whose lines go is empty; blank lines
+    stay. Repeated rows lose the same lines and count as one document. All other columns are
+    untouched, whatever their names; where one is called n_lines or n_dropped, what is added has
+    underscores behind that name. No rows give none.
     """
-    drops = recurring_lines(docs, min_documents, shortest).groupBy(*_KEY).agg(F.array_sort(F.collect_set("__at")).alias("__drops"))
-    keyed = _keyed(docs)
-    drops = drops.select(F.col("__id").alias("__of"), F.col("__print").alias("__hash"), "__drops")
-    joined = keyed.join(drops, keyed["__id"].eqNullSafe(drops["__of"]) & (keyed["__print"] == drops["__hash"]), "left")
-    kept = F.expr("array_join(filter(split(text, '\\n'), (line, at) -> not array_contains(__drops, at)), '\\n')")
-    out = joined.withColumns(
-        {
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"),
-            "n_dropped": F.when(F.col("__drops").isNull(), 0).otherwise(F.size("__drops")).cast("long"),
-            "text": F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept),
-        }
-    )
-    return out.drop(*_KEY, "__of", "__hash", "__drops")
+    # the row travels as one column, so that no name of its columns can clash
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"))
+    drops = _recurring(rows.select(*_KEY, "text"), min_documents).groupBy(*_KEY).agg(F.array_sort(F.collect_set("at")).alias("drops"))
+    drops = drops.withColumnsRenamed({"id": "of", "print": "hash"})
+    joined = rows.join(drops, rows["id"].eqNullSafe(drops["of"]) & (rows["print"] == drops["hash"]), "left")
+    kept = F.expr("array_join(filter(split(text, '\\n'), (line, at) -> not array_contains(drops, at)), '\\n')")
+    text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    n_dropped = F.when(F.col("drops").isNull(), 0).otherwise(F.size("drops")).cast("long")
+    columns = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*columns, n_lines.alias(unused("n_lines", docs.columns)), n_dropped.alias(unused("n_dropped", docs.columns)))
 
 
 #: The same in DuckDB: doc_id, text, n_lines, n_dropped.
@@ -102,7 +96,7 @@ WITH lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents
 ), leafed AS (
   SELECT *, len(string_split(line, ' ')) AS n, list_transform(string_split(line, ' ')[1:{DEPTH}], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{VARIABLE}' ELSE t END) AS lead
-  FROM lines WHERE trim(line) <> '' AND len(string_split(line, ' ')) >= {DEPTH}
+  FROM lines WHERE trim(line) <> ''
 ), leaves AS (
   SELECT n, lead FROM leafed GROUP BY n, lead HAVING count(DISTINCT doc_id) >= {MIN_DOCUMENTS}
 ), found AS (
@@ -117,6 +111,7 @@ WITH lines AS (
   SELECT t.n, t.lead, t.line, list(CASE WHEN c.token IS NULL THEN '{VARIABLE}' ELSE t.token END ORDER BY t.pos) AS shape
   FROM tokens t LEFT JOIN constant c ON t.n = c.n AND t.lead = c.lead AND t.pos = c.pos AND t.token = c.token
   GROUP BY t.n, t.lead, t.line HAVING count(c.token) >= {CONSTANT} * count(*)
+    AND count(c.token) FILTER (WHERE t.pos > {DEPTH}) >= {CONSTANT} * count(*) FILTER (WHERE t.pos > {DEPTH} AND t.token <> '{VARIABLE}')
 ), placed AS (
   SELECT f.doc_id, f.line_no, f.lead, t.shape FROM found f JOIN templates t ON f.n = t.n AND f.lead = t.lead AND f.line = t.line
 ), recurring AS (

@@ -24,6 +24,8 @@ from .common import written
 BUCKETS = 4096
 #: Labelled rows that the classifier is fitted on at most: those whose ids' hashes come first.
 MOST_LABELLED = 20_000
+#: Domains beyond this many are an error: the model and the pairs of domains that a fit sums up grow with them.
+MOST_DOMAINS = 64
 #: A text's evidence counts as that of this many words at most, so that long texts stay soft.
 EVIDENCE = 64
 #: Trials of multipliers before a fit that still moves is an error; the largest miss that is met, as a part of all tokens.
@@ -59,20 +61,20 @@ def word_buckets(text: str = "text") -> Column:
 def fit_classifier(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED) -> Classifier:
     """Fit on the texts of ``labelled`` (doc_id, domain; nulls are left out), of at most ``most`` rows.
 
-    What reaches the driver is domains x buckets counts. A domain is learned if a labelled
-    document of it is there; no labelled documents make an error.
+    What reaches the driver is domains x buckets counts, of ``MOST_DOMAINS`` domains at most. A
+    domain is learned if a labelled document of it is there; without any there are no domains.
     """
-    rows = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("__id"), F.col("domain").cast("string").alias("__domain"))
-    sample = rows.distinct().orderBy(F.xxhash64("__id"), "__id", "__domain").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id"))
-    found = texts.select("__domain", word_buckets().alias("__words"))
+    rows = labelled.where("doc_id is not null and domain is not null").select(F.col("doc_id").alias("id"), F.col("domain").cast("string").alias("domain"))
+    sample = rows.distinct().orderBy(F.xxhash64("id"), "id", "domain").limit(most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
+    found = texts.select("domain", word_buckets().alias("words"))
     # a bucket of -1 counts the documents themselves
-    counts = found.select("__domain", F.explode(F.concat(F.array(F.lit(-1)), "__words")).alias("bucket")).groupBy("__domain", "bucket").count()
+    counts = found.select("domain", F.explode(F.concat(F.array(F.lit(-1)), "words")).alias("bucket")).groupBy("domain", "bucket").count()
     by: dict[str, dict[int, int]] = {}
-    for row in counts.collect():
-        by.setdefault(row["__domain"], {})[row["bucket"]] = row["count"]
-    if not by:
-        raise ValueError("no labelled document")
+    for row in counts.limit(MOST_DOMAINS * (BUCKETS + 1) + 1).collect():
+        by.setdefault(row["domain"], {})[row["bucket"]] = row["count"]
+    if len(by) > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
     domains = sorted(by)
     documents = {d: by[d].pop(-1) for d in domains}
     total = sum(documents.values())
@@ -85,36 +87,38 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELL
 
 def _evidence(weights: list[float]) -> Column:
     table = _literal(weights, "array<double>")
-    return F.aggregate("__words", F.lit(0.0), lambda s, bucket: s + F.element_at(table, bucket + 1))
+    return F.aggregate("words", F.lit(0.0), lambda s, bucket: s + F.element_at(table, bucket + 1))
 
 
-def with_posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    """``docs`` with __tokens (words of text) and __posterior (one number for each domain, in order)."""
-    out = docs.withColumn("__words", word_buckets()).withColumn("__tokens", F.size("__words").cast("long"))
-    damp = F.lit(float(EVIDENCE)) / (F.lit(float(EVIDENCE)) + F.col("__tokens"))
-    logits = []
-    for k in range(len(model.domains)):
-        logits.append(F.lit(model.prior[k]) + _evidence(model.weights[k]) * damp)
-    out = out.withColumn("__logits", F.array(*logits)).drop("__words")
-    best = F.array_max("__logits")
-    out = out.withColumn("__odds", F.transform("__logits", lambda x: F.exp(x - best)))
-    total = F.aggregate("__odds", F.lit(0.0), lambda s, x: s + x)
-    return out.withColumn("__posterior", F.transform("__odds", lambda x: x / total)).drop("__logits", "__odds")
+def with_posteriors(rows: DataFrame, model: Classifier) -> DataFrame:
+    """``rows`` (with text) and their tokens (words of text) and posterior (one number for each domain, in order)."""
+    out = rows.withColumn("words", word_buckets()).withColumn("tokens", F.size("words").cast("long"))
+    if not model.domains:
+        return out.drop("words").withColumn("posterior", F.array().cast("array<double>"))
+    damp = F.lit(float(EVIDENCE)) / (F.lit(float(EVIDENCE)) + F.col("tokens"))
+    logits = [F.lit(model.prior[k]) + _evidence(model.weights[k]) * damp for k in range(len(model.domains))]
+    out = out.withColumn("logits", F.array(*logits)).drop("words")
+    best = F.array_max("logits")
+    out = out.withColumn("odds", F.transform("logits", lambda x: F.exp(x - best)))
+    total = F.aggregate("odds", F.lit(0.0), lambda s, x: s + x)
+    return out.withColumn("posterior", F.transform("odds", lambda x: x / total)).drop("logits", "odds")
 
 
 def rate(multipliers: list[float]) -> Column:
     """A document's rate: 1 and its posterior's share of the multipliers, no lower than 0."""
-    along = sum((F.col("__posterior")[k] * m for k, m in enumerate(multipliers)), F.lit(1.0))
+    along = sum((F.col("posterior")[k] * m for k, m in enumerate(multipliers)), F.lit(1.0))
     return F.greatest(F.lit(0.0), along)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[float]:
     """The multipliers, one a domain, that bring its expected tokens to its part of all tokens.
 
-    ``members`` has __tokens and __posterior; ``targets`` are weights by domain (0 if not
+    ``members`` has tokens and posterior; ``targets`` are weights by domain (0 if not
     named). Targets that no rates meet get the nearest totals and a warning with the misses; a
     fit that has not come to rest after ``steps`` trials is an error.
     """
+    if not domains:
+        return []
     weight = np.array([float(targets.get(d, 0.0)) for d in domains])
     if weight.min() < 0 or weight.sum() <= 0:
         raise ValueError("targets are weights of at least 0, and not all 0")
@@ -123,10 +127,10 @@ def fit_rates(members: DataFrame, domains: list[str], targets: Mapping[str, floa
 
     def sums(multipliers: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
         """Expected tokens by domain, half the tokens at squared rates, and the pairs' Gram matrix over documents that stay."""
-        p, share = F.col("__posterior"), F.col("__rate") * F.col("__tokens")
-        stays = F.when(F.col("__rate") > 0, F.col("__tokens")).otherwise(0)
-        parts = [(share * p[k], _UNIT) for k in range(size)] + [(share * F.col("__rate") / 2, _UNIT)] + [(stays * p[k] * p[j], _FINE) for k, j in pairs]
-        rated = members.select("__tokens", "__posterior", rate(multipliers.tolist()).alias("__rate"))
+        p, share = F.col("posterior"), F.col("rate") * F.col("tokens")
+        stays = F.when(F.col("rate") > 0, F.col("tokens")).otherwise(0)
+        parts = [(share * p[k], _UNIT) for k in range(size)] + [(share * F.col("rate") / 2, _UNIT)] + [(stays * p[k] * p[j], _FINE) for k, j in pairs]
+        rated = members.select("tokens", "posterior", rate(multipliers.tolist()).alias("rate"))
         row = rated.select(*[F.sum(F.round(x * unit).cast("decimal(38,0)")).alias(f"s{n}") for n, (x, unit) in enumerate(parts)]).first()
         got = np.array([float(x or 0) / unit for x, (_, unit) in zip(row, parts)])
         gram = np.zeros((size, size))
@@ -185,31 +189,34 @@ def _chance() -> Column:
 
 def _copies(multipliers: list[float]) -> Column:
     """A whole number of copies whose expectation is the rate; chance decides the rest."""
-    return F.floor(rate(multipliers) + F.col("__chance")).cast("long")
+    return F.floor(rate(multipliers) + F.col("chance")).cast("long")
 
 
-def _fitted(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float], *drop: str) -> tuple[DataFrame, Classifier, list[float]]:
+def _fitted(docs: DataFrame, rows: DataFrame, labelled: DataFrame, targets: Mapping[str, float]) -> tuple[DataFrame, Classifier, list[float]]:
+    """``rows`` (with text, and chance) written with their tokens and posteriors but without text, the model, and the multipliers."""
     model = fit_classifier(docs, labelled)
-    members = written(with_posteriors(docs.withColumn("__chance", _chance()), model).drop(*drop))
+    members = written(with_posteriors(rows, model).drop("text"))
     return members, model, fit_rates(members, model.domains, targets)
 
 
 def mixture(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> tuple[DataFrame, list[str]]:
-    """``docs`` without text, but with __tokens, __posterior, __rate and __copies; and the domains in order.
+    """doc_id, tokens, posterior, rate and copies of every row of ``docs`` (doc_id, text; others are ignored); and the domains in order.
 
     Texts are read once more than the classifier's sample. Null and empty texts have no tokens
-    and the prior's posterior; repeated rows get the same numbers. No rows give none. Column
-    names that begin with two underscores are the operator's.
+    and the prior's posterior; repeated rows get the same numbers. Without labelled documents
+    there are no domains: posteriors are empty, and every rate is 1. No rows give none.
     """
-    members, model, multipliers = _fitted(docs, labelled, targets, "text")
-    return members.withColumns({"__rate": rate(multipliers), "__copies": _copies(multipliers)}), model.domains
+    members, model, multipliers = _fitted(docs, docs.select("doc_id", "text", _chance().alias("chance")), labelled, targets)
+    return members.select("doc_id", "tokens", "posterior", rate(multipliers).alias("rate"), _copies(multipliers).alias("copies")), model.domains
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """The rows of ``docs``, each as often as its copies say, with their columns untouched; see :func:`mixture`.
+    """The rows of ``docs``, each as often as its copies say, with their columns untouched whatever their names; see :func:`mixture`.
 
     Rows are written with their posteriors, which would else be made anew for every use of them.
     """
-    members, _, multipliers = _fitted(docs, labelled, targets)
-    repeated = members.withColumn("__copies", _copies(multipliers)).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, __copies)")))
-    return repeated.select(*docs.columns)
+    # the row travels as one column, so that no name of its columns can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text", _chance().alias("chance"))
+    members, _, multipliers = _fitted(docs, rows, labelled, targets)
+    repeated = members.select("row", F.explode(F.array_repeat(F.lit(1), _copies(multipliers).cast("int"))).alias("copy"))
+    return repeated.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -110,10 +110,8 @@ def bin_lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return max(threshold, rounding)
 
 
-def opened_bins(lengths: np.ndarray, loads: np.ndarray, capacity: int) -> np.ndarray:
-    """The bins to open again: none where the bound certifies the count, else the worst filled half of those with room."""
-    if len(loads) <= bin_lower_bound(lengths, capacity):
-        return np.zeros(len(loads), bool)
+def opened_bins(loads: np.ndarray, capacity: int) -> np.ndarray:
+    """The bins to open again where the bound does not certify their count: the worst filled half of those with room."""
     partly = loads < capacity
     return partly & (loads <= np.median(loads[partly]))
 
@@ -131,9 +129,10 @@ def _packer(capacity: int, number: int, last: bool, names: list[str]):
         table = table.sort_by([(n, "ascending") for n in ("length", *names)])
         lengths = table["length"].to_numpy()
         bins, offsets, loads = best_fit_decreasing(lengths, capacity)
-        opened = np.zeros(len(loads), bool) if last else opened_bins(lengths, loads, capacity)
+        certified = len(loads) <= bin_lower_bound(lengths, capacity)
+        opened = np.zeros(len(loads), bool) if last or certified else opened_bins(loads, capacity)
         base = (number << 56) | (TaskContext.get().partitionId() << 28)
-        for name, values in (("sequence_id", base + bins), ("offset", offsets), ("opened", opened[bins])):
+        for name, values in (("sequence_id", base + bins), ("offset", offsets), ("certified", np.full(len(bins), certified)), ("opened", opened[bins])):
             table = table.append_column(name, pa.array(values))
         yield from table.to_batches(max_chunksize=20_000)
 
@@ -143,12 +142,14 @@ def _packer(capacity: int, number: int, last: bool, names: list[str]):
 def best_fit_pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_PIECES, rounds: int = 4) -> DataFrame:
     """Give every row of ``items`` a sequence_id and an offset, in as few sequences as it can.
 
-    ``items`` has a column length with 1 to ``capacity``, and any others, which must not be
-    called sequence_id, offset or opened. Repeated rows are packed as often as they stand
+    certified tells whether no fewer sequences could hold what was packed together with the row
+    in its last round; where that is not so for all, partitions with a gap exchange the
+    bins they fill worst, for ``rounds`` rounds. ``items`` has a column length with 1 to
+    ``capacity``, and any others, which must not be called sequence_id, offset, certified or opened. Repeated rows are packed as often as they stand
     there. Rows of full length fill a sequence each and are packed in place. No rows give none.
     """
     names = [n for n in items.columns if n != "length"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long, opened boolean"
+    schema = ", ".join(f"`{n}` {t}" for n, t in items.dtypes) + ", sequence_id long, offset long, certified boolean, opened boolean"
     done: list[DataFrame] = []
     for number in range(rounds):
         n = items.count()
@@ -159,7 +160,7 @@ def best_fit_pack(items: DataFrame, capacity: int = CAPACITY, partition_items: i
         dealt = items.repartition(parts, F.xxhash64(*items.columns, F.lit(number)))
         packed = written(dealt.mapInArrow(_packer(capacity, number, last or parts == 1, names), schema))
         done.append(packed.where(~F.col("opened")).drop("opened"))
-        items = packed.where("opened").drop("sequence_id", "offset", "opened")
+        items = packed.where("opened").drop("sequence_id", "offset", "certified", "opened")
     out = done[0]
     for more in done[1:]:
         out = out.unionAll(more)
@@ -169,7 +170,7 @@ def best_fit_pack(items: DataFrame, capacity: int = CAPACITY, partition_items: i
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """Tokenise ``docs`` and pack all its pieces.
 
-    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset; see
+    Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, certified; see
     :func:`token_pieces` for nulls, empty texts and repeated rows. Extra columns of
     ``docs`` are ignored, whatever their names.
     """

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import unused, written
 from .graph import connected_components
 
 WORDS = 4
@@ -118,7 +118,8 @@ def print_links(prints: DataFrame, most: int = BITS, block: int = BLOCK) -> Data
     if not 0 <= most <= BITS:
         raise ValueError(f"segments are made for up to {BITS} bits")
     places = _meeting_places(prints)
-    crowded = places.groupBy("place").count().where(F.col("count") > block).select("place", F.ceil(F.col("count") / block).alias("blocks"))
+    # written, so that the join can split the rows of a crowded place
+    crowded = written(places.groupBy("place").count().where(F.col("count") > block).select("place", F.ceil(F.col("count") / block).alias("blocks")))
     mine = F.expr("cast(pmod(xxhash64(fingerprint, 7L), blocks) as long)")
     other = F.explode(F.expr("sequence(0L, blocks - 1)"))
     met = places.join(crowded, "place", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
@@ -162,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, most: int = BITS) -> Da
     roots = connected_components(print_links(prints.select("fingerprint"), most))
     named = prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left")
     named = written(named.select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = written(named.groupBy("root").agg(F.min("first").alias("component_id")))
     named = written(named.join(least, "root").select("fingerprint", "component_id"))
     return rows.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
@@ -174,8 +175,8 @@ def keep_one(docs: DataFrame, words: int = WORDS, most: int = BITS) -> DataFrame
     group has no other.
     """
     found = near_duplicates(docs, words, most)
-    best = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["__id"]), "left_semi")
+    best = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("best")).distinct()
+    kept = docs.join(best, docs["doc_id"].eqNullSafe(best["best"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
-    name = "__rank" + "_" * max(map(len, docs.columns))  # no column's name
+    name = unused("rank", docs.columns)
     return kept.withColumn(name, rank).where(F.col(name) == 1).drop(name)

@@ -10,7 +10,18 @@ import unicodedata
 from array import array
 from collections.abc import Callable
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: A name among the public tokenizers, or a path.
+DEFAULT_VOCABULARY = "word_bpe_49k.json"
+
+
+def located(vocabulary: str) -> str:
+    """The path of a vocabulary on this machine: itself, or that of the public tokenizer of this name."""
+    if os.path.sep in vocabulary:
+        return vocabulary
+    import public_tokenizers
+
+    return str(public_tokenizers.path(vocabulary))
+
 
 #: The vocabulary's mark for the end of a word, and the byte that stands for it here.
 WORD_END, END = "</w>", b"\xff"
@@ -61,6 +72,7 @@ class ChunkedEncoder:
         from tiktoken import Encoding
         from tokenizers import Tokenizer
 
+        path = located(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         letter, number = _of("L"), _of("N")
@@ -71,6 +83,7 @@ class ChunkedEncoder:
         ranks = entry_bytes(vocabulary)
         self.merge = Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.chunks = _Memory(self._chunk, most)
+        self.size = self.tokenizer.get_vocab_size()
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; none for a null text."""

@@ -23,14 +23,33 @@ def entry_intervals(entries: DataFrame) -> DataFrame:
     return once.select("key", "action", F.col("listed_at").alias("valid_from"), until.alias("valid_to"))
 
 
+#: A URL's host, without user, port and closing dots; empty for what is no URL with a host.
+HOST = "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:@]*[^/?#:@.])[.]*(?::[0-9]*)?(?:[/?#]|$)"
+#: The same for hosts in brackets (IPv6).
+BRACKETED = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\])(?::[0-9]*)?(?:[/?#]|$)"
+PATH = "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
+#: Addresses have no parent domains.
+ADDRESS = "^(?:[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+|[^a-z0-9].*)$"
+
+
+def url_host(url: str = "url") -> Column:
+    bracketed = F.regexp_extract(url, BRACKETED, 1)
+    return F.lower(F.when(bracketed != "", bracketed).otherwise(F.regexp_extract(url, HOST, 1)))
+
+
 def url_keys(url: str = "url") -> Column:
-    """The keys of a URL: its host's domains of two labels or more (or the bare host), and host and path prefixes."""
-    host = f"lower(regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1))"
-    path = f"regexp_extract({url}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1)"
-    labels, segments = f"split({host}, '[.]')", f"filter(split({path}, '/'), s -> s <> '')"
-    domains = f"if(size({labels}) < 2, array({host}), transform(sequence(1, size({labels}) - 1), i -> array_join(slice({labels}, i, size({labels}) - i + 1), '.')))"
-    prefixes = f"if(size({segments}) = 0, array(), transform(sequence(1, size({segments})), i -> concat({host}, '/', array_join(slice({segments}, 1, i), '/'))))"
-    return F.expr(f"if({url} is null or {host} = '', array(), array_distinct(concat({domains}, {prefixes})))")
+    """The keys of a URL: its host's domains of two labels or more (or the bare host or address), and host and path prefixes.
+
+    Users, ports, closing dots of hosts, queries and fragments are no part of keys; null and malformed URLs have none.
+    """
+    host = url_host(url)
+    labels = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(F.split(host, "[.]"))
+    count = F.size(labels)
+    domains = F.when(count < 2, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), count - 1), lambda i: F.array_join(F.slice(labels, i, count), ".")))
+    segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
+    steps = F.when(F.size(segments) > 0, F.sequence(F.lit(1), F.size(segments))).otherwise(F.array().cast("array<int>"))
+    prefixes = F.transform(steps, lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
+    return F.when(host != "", F.array_distinct(F.concat(domains, prefixes))).otherwise(F.array().cast("array<string>"))
 
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -55,10 +74,10 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
 #: begins with 0-7 are blocked on a day of January 2024 and, where the third digit is a letter,
 #: allowed again some days later; their first path segments are allowed where the second digit
 #: is a number; the hosts' parent domain is blocked in May. Days and hours count from 2024-01-01.
-LIST_SQL = """
-WITH hosts AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host FROM pages WHERE url IS NOT NULL),
+LIST_SQL = f"""
+WITH hosts AS (SELECT DISTINCT lower(regexp_extract(url, '{HOST}', 1)) AS host FROM pages WHERE url IS NOT NULL),
 dated AS (SELECT host, md5(host) AS m FROM hosts WHERE host <> ''),
-places AS (SELECT DISTINCT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages WHERE url IS NOT NULL)
+places AS (SELECT DISTINCT lower(regexp_extract(url, '{HOST}', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment FROM pages WHERE url IS NOT NULL)
 SELECT host AS key, 'block' AS action, CAST(ascii(substring(m, 2, 1)) - 48 AS BIGINT) * 24 AS listed_at FROM dated WHERE substring(m, 1, 1) < '8'
 UNION ALL SELECT host, 'allow', CAST(ascii(substring(m, 2, 1)) + ascii(substring(m, 4, 1)) - 90 AS BIGINT) * 24 FROM dated WHERE substring(m, 1, 1) < '8' AND substring(m, 3, 1) >= 'a'
 UNION ALL SELECT concat(host, '/', segment), 'allow', CAST(ascii(substring(md5(host), 5, 1)) - 40 AS BIGINT) * 24 FROM places WHERE segment <> '' AND substring(md5(host), 2, 1) < 'a'
@@ -74,11 +93,11 @@ WITH entries AS ({LIST_SQL}), captures AS ({CAPTURE_SQL}),
 once AS (SELECT key, listed_at, max(action) AS action FROM entries GROUP BY key, listed_at),
 intervals AS (SELECT key, action, listed_at AS valid_from, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS valid_to FROM once),
 parts AS (
-  SELECT *, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS host,
+  SELECT *, lower(CASE WHEN regexp_extract(url, '{BRACKETED}', 1) <> '' THEN regexp_extract(url, '{BRACKETED}', 1) ELSE regexp_extract(url, '{HOST}', 1) END) AS host,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda s: s <> '') AS segments FROM captures
 ), keyed AS (
   SELECT capture_id, fetched_at, unnest(list_distinct(list_concat(
-    CASE WHEN len(string_split(host, '.')) < 2 THEN [host] ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END,
+    CASE WHEN len(string_split(host, '.')) < 2 OR regexp_matches(host, '{ADDRESS}') THEN [host] ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(string_split(host, '.')[i:], '.')) END,
     list_transform(range(1, len(segments) + 1), lambda i: host || '/' || array_to_string(segments[1:i], '/'))))) AS key
   FROM parts WHERE host <> ''
 ), ranked AS (
