@@ -1,17 +1,21 @@
 """Exact top-k search by inner product: KD-trees per shard, searched best first.
 
-Vectors are dealt to shards of bounded size; each shard's tree splits at medians and keeps the
+A coarse tree of median splits, made from a bounded sample, cuts space into regions; a region's
+vectors are a shard, or several of bounded size. Each shard's tree splits at medians and keeps the
 tight bounding box of every node. A box bounds a query's inner product with what it holds, so
 boxes are visited from the best bound on, until no box can reach the kth best score. Each query
-first searches its own shard; its kth score there is the bar that every other shard starts from.
+first searches its own shard; its kth score there is the bar for all others. Against that, the
+tight boxes of the regions tell which shards a query has to be sent to at all.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -22,6 +26,8 @@ from .lattice import proper
 #: Vectors in a shard and queries in a group, about; they bound what a task holds.
 SHARD, QUERIES = 8192, 4096
 LEAF = 64
+#: Regions at most, and sampled vectors for each: what the driver splits, and the boxes that every task gets.
+REGIONS, SAMPLED = 1024, 64
 
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -83,10 +89,17 @@ class KDTree:
         return sorted(best, reverse=True)
 
 
-def _matrix(vectors: pa.ChunkedArray, width: int) -> np.ndarray:
+def _matrix(vectors: pa.Array | pa.ChunkedArray | list, width: int) -> np.ndarray:
     """Rows of doubles, shorter ones filled up with zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    if isinstance(vectors, pa.Array):
+        flat = vectors.flatten().to_numpy(zero_copy_only=False)
+        if len(flat) == len(vectors) * width:
+            return flat.reshape(len(vectors), width)
+        vectors = vectors.to_pylist()
     out = np.zeros((len(vectors), width))
-    for at, row in enumerate(vectors.to_pylist()):
+    for at, row in enumerate(vectors):
         out[at, : len(row)] = row
     return out
 
@@ -95,7 +108,7 @@ def _searcher(k: int):
     def search(points: pa.Table, queries: pa.Table) -> pa.Table:
         found: tuple[list, list, list] = ([], [], [])
         if points.num_rows and queries.num_rows:
-            width = max(max(map(len, t["vector"].to_pylist()), default=0) for t in (points, queries)) or 1
+            width = max(pc.max(pc.list_value_length(t["vector"])).as_py() for t in (points, queries)) or 1
             tree = KDTree(_matrix(points["vector"], width), points["vec_id"].to_numpy())
             bars = queries["bar"].to_pylist()
             ids = queries["vec_id"].to_pylist()
@@ -116,6 +129,80 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class Regions:
+    """A complete tree of median splits over a sample, each along the widest dimension; regions are its leaves."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        self.depth = max(0, count.bit_length() - 1)
+        self.along, self.at = np.zeros((1 << self.depth) - 1, np.int64), np.zeros((1 << self.depth) - 1)
+        parts = [sample]
+        for node in range(len(self.along)):
+            part = parts[node]
+            if len(part):
+                self.along[node] = (part.max(axis=0) - part.min(axis=0)).argmax()
+                self.at[node] = np.median(part[:, self.along[node]])
+            right = part[:, self.along[node]] > self.at[node] if len(part) else np.zeros(0, bool)
+            parts += [part[~right], part[right]]
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (points[rows, self.along[node]] > self.at[node])
+        return node - ((1 << self.depth) - 1)
+
+
+def _placed(sound: DataFrame, regions: Regions, width: int, subs: int) -> DataFrame:
+    """``sound`` (vec_id, vector, query) with its region and, in that, the shard by a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = regions(_matrix(batch.column(1), width))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["vec_id", "vector", "query", "region"])
+
+    placed = sound.mapInArrow(run, "vec_id long, vector array<double>, query boolean, region long")
+    return placed.withColumn("sub", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(subs)))
+
+
+def _boxes(placed: DataFrame, width: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The tight box of every region: regions x components numbers reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        boxes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            points, found = _matrix(batch.column(1), width), batch.column(0).to_numpy()
+            for region in np.unique(found).tolist():
+                part = points[found == region]
+                low, high = boxes.get(region, (np.inf, -np.inf))
+                boxes[region] = np.minimum(low, part.min(axis=0)), np.maximum(high, part.max(axis=0))
+        for region, (low, high) in boxes.items():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(width, region), np.arange(width), low, high)], names=["region", "at", "low", "high"])
+
+    partial = placed.select("region", "vector").mapInArrow(run, "region long, at long, low double, high double")
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for row in partial.groupBy("region", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).toLocalIterator():
+        low, high = out.setdefault(row["region"], (np.zeros(width), np.zeros(width)))
+        low[row["at"]], high[row["at"]] = row["low"], row["high"]
+    return out
+
+
+def _reached(queries: DataFrame, boxes: dict[int, tuple[np.ndarray, np.ndarray]], width: int) -> DataFrame:
+    """``queries`` (vec_id, vector, home, bar) with every region whose box can hold a score that reaches the bar."""
+    names = np.array(sorted(boxes), np.int64)
+    low, high = (np.array([boxes[n][side] for n in names.tolist()]).reshape(len(names), width) for side in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1024):
+                part = batch.slice(first, 1024)
+                asked = _matrix(part.column(1), width)
+                bounds = np.maximum(asked, 0) @ high.T + np.minimum(asked, 0) @ low.T
+                bar = part.column(3).fill_null(-np.inf).to_numpy()
+                at, region = np.nonzero(bounds >= bar[:, None])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in part.columns), pa.array(names[region])], names=["vec_id", "vector", "home", "bar", "region"])
+
+    return queries.select("vec_id", "vector", "home", F.col("bar").cast("double").alias("bar")).mapInArrow(run, "vec_id long, vector array<double>, home long, bar double, region long")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD, group: int = QUERIES) -> DataFrame:
     """The ``k`` highest inner products of every query: query_id, rank, vec_id, score.
 
@@ -123,29 +210,36 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard: int = SHARD,
     ``is_query`` tells queries among them. Candidates are all rows with another vec_id than the
     query's; ties go to the smaller vec_id. Rows with a null vec_id or an improper vector take
     no part; vectors of unlike length are filled up with zeros; repeated rows count as often as
-    they stand there, a query once. No rows give none.
+    they stand there, a query once. No rows give none. A shard's vectors are sent once for each ``group``
+    of queries that reach it, and not at all where none does.
     """
     sound = vectors.where(proper("vector") & F.col("vec_id").isNotNull()).select("vec_id", "vector", is_query.alias("query"))
     sound = written(sound)
-    counts = sound.select(F.count("*").alias("n"), F.count_if("query").alias("q")).first()
-    shards, groups = max(1, -(-counts["n"] // shard)), max(1, -(-counts["q"] // group))
-    home = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))
-    crowd = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(groups))
-    queries = sound.where("query").dropDuplicates(["vec_id"]).select("vec_id", "vector", crowd.alias("group"), home.alias("home"))
-    points = sound.select("vec_id", "vector", home.alias("shard"), F.explode(F.expr(f"sequence(0L, {groups - 1}L)")).alias("group"))
+    facts = sound.select(F.count("*").alias("n"), F.max(F.size("vector")).alias("width")).first()
+    shards, width = max(1, -(-facts["n"] // shard)), facts["width"] or 1
+    count = min(1 << (shards - 1).bit_length(), REGIONS)
+    subs = -(-shards // count)
+    sample = sound.orderBy(F.xxhash64("vec_id", "vector")).limit(count * SAMPLED if count > 1 else 0).select("vector").collect()
+    placed = written(_placed(sound, Regions(_matrix([r["vector"] for r in sample], width), count), width, subs))
+    queries = placed.where("query").dropDuplicates(["vec_id"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        keys = ["shard", "group"]
-        asked = asked.select(*(F.col(c).alias(c) for c in asked.columns))  # its columns are none of points'
-        return points.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
-
-    first = written(searched(queries.select("vec_id", "vector", "group", F.col("home").alias("shard"), F.lit(None).cast("long").alias("bar"))))
+        """``asked`` (vec_id, vector, bar, region, sub), in groups of queries, against the shards."""
+        keys = ["region", "sub", "group"]
+        crowds = written(asked.groupBy("region", "sub").agg(F.ceil(F.count("*") / group).alias("groups")))
+        asked = asked.join(crowds, ["region", "sub"]).withColumn("group", F.expr("pmod(xxhash64(vec_id, 3L), groups)"))
+        points = placed.select("vec_id", "vector", "region", "sub").join(crowds, ["region", "sub"]).withColumn("group", F.explode(F.expr("sequence(0L, groups - 1)")))
+        asked = asked.select(*(F.col(c).alias(c) for c in ("vec_id", "vector", "bar", *keys)))  # its columns are none of points'
+        return points.select("vec_id", "vector", *keys).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_searcher(k), _FOUND)
+
+    first = written(searched(queries.select("vec_id", "vector", "region", "sub", F.lit(None).cast("double").alias("bar"))))
     if shards == 1:
         return _best(first, k)
     bars = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("bar")).where(F.col("n") >= k).select(F.col("query_id").alias("vec_id"), "bar")
-    barred = queries.join(bars, "vec_id", "left")
-    elsewhere = barred.withColumn("shard", F.explode(F.expr(f"sequence(0L, {shards - 1}L)"))).where("shard <> home")
-    return _best(first.unionAll(searched(elsewhere.select("vec_id", "vector", "group", "shard", "bar"))), k)
+    barred = queries.select("vec_id", "vector", F.expr(f"region * {subs} + sub").alias("home")).join(bars, "vec_id", "left")
+    reached = _reached(barred, _boxes(placed, width), width).withColumn("sub", F.explode(F.expr(f"sequence(0L, {subs - 1}L)")))
+    elsewhere = written(reached.where(f"region * {subs} + sub <> home").drop("home"))
+    return _best(first.unionAll(searched(elsewhere)), k)
 
 
 def quantised(vector: str) -> Column:
