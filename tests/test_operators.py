@@ -42,6 +42,19 @@ def test_groups_follow_the_sequential_rule(spark, seed, most):
     assert grouped(spark, values, most) == greedy(values, most)
 
 
+@pytest.mark.parametrize("task_edges", [0, 40, 10**6])
+def test_rounds_and_the_sequence_agree(spark, task_edges):
+    draw = random.Random(9)
+    edges = sorted({tuple(sorted(draw.sample(range(90), 2))) for _ in range(200)} | {(i, i + 1) for i in range(100, 112)})
+    nodes = spark.range(120).withColumnRenamed("id", "rep")
+    got = {r["rep"]: r["leader"] for r in group.leaders(nodes, spark.createDataFrame(edges, "lo long, hi long"), task_edges).collect()}
+    expected = {}
+    for i in range(120):
+        heads = [lo for lo, hi in edges if hi == i and expected[lo] == lo]
+        expected[i] = min(heads, default=i)
+    assert got == expected
+
+
 def test_bands_find_what_comparing_all_finds(spark):
     draw = random.Random(3)
     values = [draw.choice([0, 1 << 255, (1 << 200) - 1]) ^ sum(1 << draw.randrange(256) for _ in range(draw.randrange(8))) for _ in range(60)]
@@ -49,6 +62,9 @@ def test_bands_find_what_comparing_all_finds(spark):
     for most in (0, 4, 9):
         expected = sorted(tuple(r) for r in match.nested_pairs(distinct, most).collect())
         assert sorted(tuple(r) for r in match.banded_pairs(distinct, most).collect()) == expected
+        assert sorted(tuple(r) for r in match.banded_pairs(distinct, most, 1).collect()) == expected
+    assert [match.radius_for(n, 16) for n in (10**3, 10**6, 10**9)] == [0, 1, 1] and match.radius_for(10**9, 4) == 0
+    assert sorted(map(tuple, match.representatives(hashed(spark, [5, 7, 5])).collect())) == [(0, 0), (1, 1), (2, 0)]
 
 
 def library(spark, rows):
@@ -57,8 +73,10 @@ def library(spark, rows):
 
 def test_exact_groups(spark):
     rows = [(0, "/a", "a", 0, 1, "", True), (1, "/b", "b", 0, 1, "", False), (2, "/c", "c", 2, 1, "xy", False), (3, "/d", "d", 2, 1, "yx", False), (4, "/e", "e", 5, 1, None, False), (5, "/f", "f", 5, 1, None, False)]
-    files = library(spark, rows)
+    files = library(spark, rows).withColumn("digest", F.coalesce(F.md5(F.col("content").cast("binary")), F.lit("error"))).drop("content")
     digested = group.with_digests(files)
+    again = group.with_digests(files, F.concat(F.lit("of "), "path"))
+    assert {r["idx"]: r["md5"] for r in again.collect()} == {i: f"of {p}" for i, p, *_ in rows}
     assert {r["idx"]: r["md5"] for r in digested.collect()}[4] == "error"
     members = group.numbered(group.md5_members(digested))
     assert sorted((r["group_id"], r["idx"], r["pos"]) for r in members.collect()) == [(0, 0, 0), (0, 1, 1)]
@@ -93,8 +111,14 @@ def test_cache_versions(spark, tmp_path):
 
 
 def test_numbers_follow_the_order(spark):
-    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
-    assert all(r["v"] == r["n"] for r in indexed(rows, "n", F.col("v")).collect())
+    rows = spark.range(150_000).select((F.col("id") * 7919 % 75_000).alias("v"), F.col("id").alias("extra"), F.concat(F.lit("name "), "id").alias("name")).repartition(7)
+    out = indexed(rows, "n", F.col("v"), F.col("extra"))
+    assert out.columns == ["v", "extra", "name", "n"]
+    # whatever columns are read, the numbers are the same, without gaps, and in order
+    for columns in (["v", "n"], ["extra", "name", "v", "n"]):
+        found = sorted(out.select(*columns).collect(), key=lambda r: r["n"])
+        assert [r["n"] for r in found] == list(range(150_000)) and all(a["v"] <= b["v"] for a, b in zip(found, found[1:]))
+    assert out.join(out.select("extra", F.col("n").alias("m")), "extra").where("n <> m").count() == 0
 
 
 def test_scan_of_a_folder(spark, tmp_path):

@@ -72,6 +72,15 @@ def similarity(distance: str) -> Column:
     return F.expr(f"100 - {distance} * 100 div 256")
 
 
+def card_similarity(algorithm: str, distance: str, leader: str, equal: str) -> Column:
+    """What a member's card shows, as text: 100 for the leader; by md5 100 or 0; else the percentage, or a dash without a hash.
+
+    ``distance`` (null without a hash), ``leader`` and ``equal`` (the same digest) name columns.
+    """
+    alike = F.when(F.col(equal), "100%").otherwise("0%") if algorithm == "md5" else F.coalesce(F.concat(similarity(distance).cast("string"), F.lit("%")), F.lit("-"))
+    return F.when(F.col(leader), "100%").otherwise(alike)
+
+
 def threshold_label(threshold: str) -> Column:
     """A threshold's percentage: 100 less the rounded threshold x 100 / 256."""
     return (100 - F.round(F.col(threshold) * 100.0 / 256)).cast("int")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..schema import ALGORITHMS, CACHE_SCHEMA
 
@@ -33,7 +34,11 @@ def delete_paths(cache: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 class SnapshotCache:
-    """Versions v=1, v=2, ... under a folder; readers see the last whole one, and old ones stay until dropped."""
+    """Versions v=1, v=2, ... under a folder; readers see the last whole one, and old ones stay until dropped.
+
+    Batches of rows that are done are appended to the journal of the version they follow, where
+    readers find them at once; the next version takes them in.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -42,23 +47,46 @@ class SnapshotCache:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def version(self) -> int:
-        fs, path = self._fs()
-        if not fs.exists(path):
-            return 0
+    def _numbers(self, prefix: str, folder: str) -> list[int]:
+        """The numbers of the whole tables called so in a folder."""
         make = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(make(f"{self.folder}/{n}/_SUCCESS"))]
-        return max(done, default=0)
+        fs, _ = self._fs()
+        if not fs.exists(make(folder)):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(make(folder))]
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix) and fs.exists(make(f"{folder}/{n}/_SUCCESS")))
+
+    def version(self) -> int:
+        return max(self._numbers("v=", self.folder), default=0)
+
+    def _journal(self, version: int) -> str:
+        return f"{self.folder}/journal={version}"
 
     def load(self) -> DataFrame:
-        if not (now := self.version()):
-            return self.spark.createDataFrame([], CACHE_SCHEMA)
-        return self.spark.read.schema(CACHE_SCHEMA).parquet(f"{self.folder}/v={now}")
+        """The rows of the last version, and of the batches since; of one path the latest."""
+        now = self.version()
+        rows = self.spark.read.schema(CACHE_SCHEMA).parquet(f"{self.folder}/v={now}") if now else self.spark.createDataFrame([], CACHE_SCHEMA)
+        batches = self._numbers("batch=", self._journal(now))
+        if not batches:
+            return rows
+        added = self.spark.read.schema(StructType([*CACHE_SCHEMA, StructField("batch", LongType())])).option("basePath", self._journal(now))
+        added = added.parquet(*(f"{self._journal(now)}/batch={n}" for n in batches))
+        last = F.row_number().over(Window.partitionBy("rel_path").orderBy(F.desc("batch")))
+        return upsert(rows, added.withColumn("__last", last).where("__last = 1").drop("__last", "batch"))
+
+    def _shaped(self, rows: DataFrame) -> DataFrame:
+        return rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE_SCHEMA))
+
+    def append(self, rows: DataFrame) -> int:
+        """Write one batch of rows, of distinct paths, to the journal."""
+        journal = self._journal(self.version())
+        number = max(self._numbers("batch=", journal), default=0) + 1
+        self._shaped(rows).write.parquet(f"{journal}/batch={number}")
+        return number
 
     def save(self, rows: DataFrame) -> int:
         version = self.version() + 1
-        rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE_SCHEMA)).write.parquet(f"{self.folder}/v={version}")
+        self._shaped(rows).write.parquet(f"{self.folder}/v={version}")
         return version
 
     def upsert(self, rows: DataFrame) -> int:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import shutil
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import utf16_length
+from .stage import materialised
 
 #: The order that puts the keeper first; ties go to the lower path, then the lower idx.
 RULES: dict[str, Callable[[], list[Column]]] = {
@@ -85,21 +88,32 @@ def select_group(files: DataFrame, members: DataFrame, group_id: int, selected:
     return joined.withColumn("selected", F.when(F.col("__of"), F.lit(selected)).otherwise(F.col("selected"))).drop("__of")
 
 
-def move_to_trash(plan: DataFrame, trash: str, dry_run: bool = True, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
-    """Carry out a plan on local files: path and status (planned, deleted, failed, cancelled). Moves to ``trash``; never unlinks."""
-    out = []
-    for number, row in enumerate(plan.select("path").distinct().orderBy("path").toLocalIterator()):
-        path = row["path"]
-        if dry_run:
-            status = "planned"
-        elif cancelled():
-            status = "cancelled"
-        else:
-            try:
-                os.makedirs(trash, exist_ok=True)
-                shutil.move(path, os.path.join(trash, f"{number:08d}-{os.path.basename(path)}"))
-                status = "deleted"
-            except OSError:
-                status = "failed"
-        out.append((path, status))
-    return plan.sparkSession.createDataFrame(out, "path string, status string")
+def move_to_trash(plan: DataFrame, trash: str, dry_run: bool = True, cancel_file: str | None = None) -> DataFrame:
+    """Carry out a plan on files that all executors see: path and status (planned, deleted, failed, cancelled). Never unlinks.
+
+    Files are moved into ``trash`` under names that follow from their paths, so a task that runs
+    twice finds them there. Once ``cancel_file`` exists no further file is moved.
+    """
+    paths = plan.select("path").distinct()
+    if dry_run:
+        return paths.withColumn("status", F.lit("planned"))
+
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(trash, exist_ok=True)
+        for batch in batches:
+            yield pd.DataFrame({"path": batch["path"], "status": [_moved(p, trash, cancel_file) for p in batch["path"]]})
+
+    return materialised(paths.mapInPandas(move, "path string, status string"))
+
+
+def _moved(path: str, trash: str, cancel_file: str | None) -> str:
+    target = os.path.join(trash, f"{hashlib.md5(path.encode()).hexdigest()}-{os.path.basename(path)}")
+    if not os.path.exists(path) and os.path.exists(target):
+        return "deleted"
+    if cancel_file and os.path.exists(cancel_file):
+        return "cancelled"
+    try:
+        shutil.move(path, target)
+    except OSError:
+        return "failed"
+    return "deleted"

@@ -213,10 +213,12 @@ def min_similarity_label(spark, sf_dir):
     return spark.range(65).select(F.col("id").cast("int").alias("threshold"), scalars.threshold_label("id").alias("label"))
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"({c}, '{n}', '{s}', '{v}', {DISPLAY_ORDER.index(ALGORITHMS[c])})" for c, n, s, v in ALGORITHM_TABLE) + ") t(code, name, short_name, speed, place)")
+_SHOWN = [(*row, DISPLAY_ORDER.index(ALGORITHMS[row[0]])) for row in ALGORITHM_TABLE]
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x.replace(chr(39), chr(39) * 2)}'" if isinstance(x, str) else str(x) for x in row) + ")" for row in _SHOWN) + ") t(code, name, short_name, speed, description, place)")
 def algorithm_table(spark, sf_dir):
-    rows = [(*row, DISPLAY_ORDER.index(ALGORITHMS[row[0]])) for row in ALGORITHM_TABLE]
-    return spark.createDataFrame(rows, "code int, name string, short_name string, speed string, place int")
+    return spark.createDataFrame(_SHOWN, "code int, name string, short_name string, speed string, description string, place int")
 
 
 # --- groups shown

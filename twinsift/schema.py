@@ -21,14 +21,15 @@ IMAGE_SUFFIXES = sorted({*RASTER_SUFFIXES, *HEIF_SUFFIXES, *JPEG2000_SUFFIXES, *
 #: Codes are stable: dhash 0 to bhash 4 have a bit each in a hash mask, md5 5 has none.
 ALGORITHMS = ("dhash", "phash", "ahash", "whash", "bhash", "md5")
 DISPLAY_ORDER = ("md5", "ahash", "dhash", "whash", "bhash", "phash")
+#: Codes, names and short names are fixed values; speeds and descriptions are this engine's words.
 ALGORITHM_TABLE = [
-    # code, name, short name, speed
-    (0, "Difference Hash (dHash)", "dHash", "Very fast"),
-    (1, "Perceptual Hash (pHash)", "pHash", "Moderate"),
-    (2, "Average Hash (aHash)", "aHash", "Very fast"),
-    (3, "Wavelet Hash (wHash)", "wHash", "Fast"),
-    (4, "BlockMean Hash (bHash)", "bHash", "Fast"),
-    (5, "Exact MD5 (byte-identical)", "MD5", "Usually fastest"),
+    # code, name, short name, speed, description
+    (0, "Difference Hash (dHash)", "dHash", "fastest of the image hashes", "Compares each pixel with its right neighbour: finds resized and recompressed copies."),
+    (1, "Perceptual Hash (pHash)", "pHash", "slowest of the image hashes", "Keeps the coarse frequencies of a picture: bears changes of contrast and detail best."),
+    (2, "Average Hash (aHash)", "aHash", "fastest of the image hashes", "Compares pixels with their average: simple, and quick to call different pictures alike."),
+    (3, "Wavelet Hash (wHash)", "wHash", "fast", "Averages small blocks by a wavelet step: steadier than the average hash where there is noise."),
+    (4, "BlockMean Hash (bHash)", "bHash", "fast", "Compares the means of blocks with their median: half of the bits are set, whatever the light."),
+    (5, "Exact MD5 (byte-identical)", "MD5", "reads only files of shared sizes", "Finds files whose bytes are the same, of any kind."),
 ]
 
 #: The digest of a file that could not be read; it is kept and never grouped.

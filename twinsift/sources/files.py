@@ -5,34 +5,42 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import basename, category, suffix
+from ..functions.hashes import hasher
+from ..functions.scalars import basename, category, decode_slot, suffix
 from ..operators.order import indexed
-from ..schema import CACHE_PREFIX, ERROR_DIGEST
-from .decode import decode_gray
+from ..schema import ALGORITHMS, CACHE_PREFIX, ERROR_DIGEST
+from .decode import DECODERS, allocation_limit, decode_gray, gray_raster, jpeg_orientation, png_size, upright
 
 _LISTED = "path string, rel_path string, size long, mtime long"
 
 
-def list_folder(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
+def list_folder(spark: SparkSession, folder: str, recursive: bool = False, tasks: int = 256) -> DataFrame:
     """path, rel_path, size, mtime (ms) of readable files under a folder that all executors see.
 
-    Names that begin with a dot or underscore are listed too, which Spark's own readers skip.
+    Names that begin with a dot or underscore are listed too, which Spark's own readers skip. The
+    driver opens folders until there are ``tasks`` of them, or none is left to open; each of
+    these is then walked by a task.
     """
-    tops = [folder]
+    shallow, deep = [folder], []
     if recursive:
-        tops += sorted(e.path for e in os.scandir(folder) if e.is_dir())
+        deep = sorted(e.path for e in os.scandir(folder) if e.is_dir(follow_symlinks=False))
+        while deep and len(deep) < tasks:
+            below = [e.path for top in deep for e in os.scandir(top) if e.is_dir(follow_symlinks=False)]
+            shallow, deep = shallow + deep, sorted(below)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for top, deep in zip(batch["top"], batch["deep"]):
-                rows = []
+            for top, whole in zip(batch["top"], batch["whole"]):
                 for at, _, names in os.walk(top):
+                    rows = []
                     for name in names:
                         path = os.path.join(at, name)
                         try:
@@ -41,20 +49,12 @@ def list_folder(spark: SparkSession, folder: str, recursive: bool = False) -> Da
                             continue
                         if os.access(path, os.R_OK):
                             rows.append((path, os.path.relpath(path, folder), stat.st_size, stat.st_mtime_ns // 1_000_000))
-                    if not deep:
+                    yield pd.DataFrame(rows, columns=["path", "rel_path", "size", "mtime"])
+                    if not whole:
                         break
-                yield pd.DataFrame(rows, columns=["path", "rel_path", "size", "mtime"])
 
-    asked = spark.createDataFrame([(t, t != folder) for t in tops], "top string, deep boolean").repartition(max(1, len(tops)))
-    return asked.mapInPandas(walk, _LISTED)
-
-
-def binary_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """The same through Spark's own reader, from any file system; content is only read if it is asked for."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    full = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/") + "/"
-    return found.select("path", F.expr(f"substring(path, {len(full) + 1})").alias("rel_path"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
+    asked = spark.createDataFrame([(t, False) for t in shallow] + [(t, True) for t in deep], "top string, whole boolean")
+    return asked.repartition(max(1, min(tasks, len(shallow) + len(deep)))).mapInPandas(walk, _LISTED)
 
 
 def classified(listed: DataFrame, images: bool = True, videos: bool = False, others: bool = False, cache_prefix: str = CACHE_PREFIX) -> DataFrame:
@@ -86,40 +86,97 @@ def file_md5(paths: pd.Series) -> pd.Series:
     return paths.map(digest)
 
 
-def with_rasters(files: DataFrame, content: str | None = None) -> DataFrame:
-    """``files`` with gray (64 x 64), width and height; null for what no decoder reads.
+#: Suffixes that Spark's image reader decodes. It passes over names that begin with a dot or an underscore.
+JVM_SUFFIXES = ("jpg", "jpeg", "jpe", "jif", "jfif", "gif", "tif", "tiff", "wbmp")
+#: Decodes of one kind that run at once on the whole cluster: JPEG 2000 and very large PNG take much memory.
+SLOTS = {"jpeg2000": 1, "large_png": 1, "raw": 2}
+_RASTER = T.StructType([T.StructField("gray", T.BinaryType()), T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+def _head(path: str, size: int) -> bytes:
+    try:
+        with open(path, "rb") as file:
+            return file.read(size)
+    except OSError:
+        return b""
+
+
+@F.pandas_udf(T.StructType(_RASTER.fields[1:]))
+def _png_sizes(paths: pd.Series, suffixes: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([png_size(_head(p, 24)) if s in ("png", "apng") else (0, 0) for p, s in zip(paths, suffixes)], columns=["width", "height"])
 
-    ``content`` names a column of bytes; without one files are read by path on the executors.
-    """
 
-    @F.pandas_udf("gray binary, width int, height int")
+def _decoded(files: DataFrame, content: str | None) -> DataFrame:
+    @F.pandas_udf(_RASTER)
     def decode(suffixes: pd.Series, sources: pd.Series) -> pd.DataFrame:
         rows = []
         for kind, source in zip(suffixes, sources):
             try:
-                data = source if content else open(source, "rb").read()
-                rows.append(decode_gray(kind, bytes(data)))
+                if content:
+                    data = bytes(source)
+                else:
+                    with open(source, "rb") as file:
+                        data = file.read()
+                rows.append(decode_gray(kind, data))
             except (OSError, ValueError, TypeError):
                 rows.append((None, None, None))
         return pd.DataFrame(rows, columns=["gray", "width", "height"])
 
-    return files.withColumn("__r", decode("suffix", content or "path")).select("*", "__r.gray", "__r.width", "__r.height").drop("__r")
+    return files.withColumn("raster", decode("suffix", content or "path"))
 
 
-def image_rasters(spark: SparkSession, folder: str) -> DataFrame:
-    """path, width, height, gray through Spark's image reader (BGR rows), which reads JPEG, PNG, GIF and BMP."""
-    from .decode import gray_raster
+def _jvm_rasters(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and raster of images that Spark's reader decodes (BGR rows), shown as their EXIF orientation wants."""
 
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    @F.pandas_udf("path string, gray binary, width int, height int")
+    def convert(origins: pd.Series, data: pd.Series, heights: pd.Series, widths: pd.Series, channels: pd.Series) -> pd.DataFrame:
+        rows = []
+        for origin, d, h, w, c in zip(origins, data, heights, widths, channels):
+            path = unquote(urlparse(origin).path)
+            if w * h * c > allocation_limit():
+                rows.append((path, None, None, None))
+                continue
+            pixels = np.frombuffer(bytes(d), np.uint8).reshape(h, w, c)
+            pixels = upright(pixels[:, :, 2::-1] if c >= 3 else pixels, jpeg_orientation(_head(path, 1 << 17)))
+            rows.append((path, gray_raster(pixels), pixels.shape[1], pixels.shape[0]))
+        return pd.DataFrame(rows, columns=["path", "gray", "width", "height"])
 
-    @F.pandas_udf(T.BinaryType())
-    def gray(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series) -> pd.Series:
-        import numpy as np
+    images = spark.read.format("image").option("dropInvalid", True).load(paths).select("image.*")
+    found = images.select(convert("origin", "data", "height", "width", "nChannels").alias("r"))
+    return found.select(F.col("r.path").alias("path"), F.struct("r.gray", "r.width", "r.height").alias("raster"))
 
-        out = []
-        for d, h, w, c in zip(data, height, width, channels):
-            pixels = np.frombuffer(bytes(d), np.uint8).reshape(h, w, c)
-            out.append(gray_raster(pixels[:, :, 2::-1] if c >= 3 else pixels))
-        return pd.Series(out)
 
-    return images.select(F.col("origin").alias("path"), "width", "height", gray("data", "height", "width", "nChannels").alias("gray"))
+def with_rasters(files: DataFrame, content: str | None = None) -> DataFrame:
+    """``files`` (path, suffix, ...) with gray (64 x 64), width and height; null for what no decoder reads.
+
+    ``content`` names a column of bytes; without one files are read by path on the executors, and
+    families that the JVM reads are decoded there: their paths go through the driver, so ``files``
+    should be a batch of bounded size. Decodes that take much memory run in few tasks.
+    """
+    if content:
+        return _decoded(files, content).select("*", "raster.gray", "raster.width", "raster.height").drop("raster")
+    spark = files.sparkSession
+    own = files.where(F.col("suffix").isin(*DECODERS)).withColumn("sizes", _png_sizes("path", "suffix"))
+    own = own.select("*", "sizes.width", "sizes.height").withColumn("slot", decode_slot()).drop("sizes", "width", "height")
+    parts = [_decoded(own.where("slot = 'free'").drop("slot"), None)]
+    parts += [_decoded(own.where(F.col("slot") == slot).drop("slot").coalesce(tasks), None) for slot, tasks in SLOTS.items()]
+    jvm = files.where(F.col("suffix").isin(*(s for s in JVM_SUFFIXES if s not in DECODERS)))
+    paths = [r["path"] for r in jvm.where(~basename().rlike("^[._]")).select("path").toLocalIterator()]
+    none = F.lit(None).cast(_RASTER)
+    parts.append(jvm.join(_jvm_rasters(spark, paths), "path", "left").select(*files.columns, "raster") if paths else jvm.withColumn("raster", none))
+    parts.append(files.where(~F.col("suffix").isin(*DECODERS, *JVM_SUFFIXES)).withColumn("raster", none))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("*", "raster.gray", "raster.width", "raster.height").drop("raster")
+
+
+def with_hashes(files: DataFrame, algorithm: str) -> DataFrame:
+    """``files`` with width, height, the chosen hash and its mask for a perceptual algorithm, or with md5: no other is computed.
+
+    A perceptual hash is null where a file could not be decoded; md5 is 'error' where it could not be read.
+    """
+    if algorithm == "md5":
+        return files.withColumn("md5", file_md5("path"))
+    hashed = with_rasters(files).withColumn(algorithm, hasher(algorithm)("gray")).drop("gray")
+    return hashed.withColumn("hash_mask", F.when(F.col(algorithm).isNotNull(), 1 << ALGORITHMS.index(algorithm)).otherwise(0))

@@ -2,18 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from ..operators.order import indexed
+from ..operators.stage import materialised
 from ..schema import ERROR_DIGEST
 
 BATCH_FILES = 1000
 
 
+def in_batches(pending: DataFrame, work: Callable[[DataFrame], DataFrame], done: Callable[[DataFrame], object], rows: int = BATCH_FILES, cancelled: Callable[[], bool] = lambda: False) -> bool:
+    """Do ``work`` on ``pending`` (with idx) in batches of ``rows`` and hand each to ``done`` before the next begins; False if cancelled between.
+
+    A batch is a whole job: on a cluster ``rows`` should be many times its cores.
+    """
+    places = materialised(indexed(pending, "__place", F.col("idx")).withColumn("__batch", F.expr(f"__place div {rows}")))
+    last = places.agg(F.max("__batch")).first()[0]
+    for number in range(0 if last is None else last + 1):
+        if cancelled():
+            return False
+        done(work(places.where(F.col("__batch") == number).drop("__place", "__batch")))
+    return not cancelled()
+
+
 def digest_stream(spark: SparkSession, source: str, schema: StructType, sink: str, state: str, files_per_batch: int = BATCH_FILES) -> StreamingQuery:
-    """Read rows (rel_path, mtime, size, content) from Parquet files as they come and append their digests to ``sink``.
+    """Read rows (rel_path, mtime, size, content) from Parquet files as they come, ``files_per_batch`` of these at once, and append their digests to ``sink``.
 
     A restart goes on after the last batch that is whole; reading ``sink`` by :func:`latest`
     makes a batch that ran twice count once.
