@@ -77,7 +77,8 @@ def test_links_join_what_is_near(spark, block):
     assert _union(len(prints), [(at[r["a"]], at[r["b"]]) for r in found]) == expected
 
 
-def test_windows_against_brute_force(spark, documents):
+@pytest.mark.parametrize("part, remembered", [(1_000_000, 500_000), (300, 500_000), (300, 5)])
+def test_windows_against_brute_force(spark, documents, part, remembered):
     draw = np.random.default_rng(2)
     rows = list(TEXTS)
     passage = [f"p{i}" for i in range(60)]
@@ -85,7 +86,7 @@ def test_windows_against_brute_force(spark, documents):
         words = [f"v{x}" for x in draw.integers(0, 4 if i % 4 == 0 else 1000, 60)]
         at = int(draw.integers(0, 60))
         rows.append((100 + i, " ".join(words[:at] + passage[at // 2 : at // 2 + int(draw.integers(5, 40))] + words[at:])))
-    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept"]) for r in recompression.drop_repeated_windows(documents(rows)).collect())
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["n_removed"], r["kept"]) for r in recompression.drop_repeated_windows(documents(rows), part=part, remembered=remembered).collect())
     words = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
     first = {}
     for i, w in words:

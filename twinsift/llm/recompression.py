@@ -6,7 +6,8 @@ by a hash of symbol and round. Names are hashes of what they stand for, so they
 every document. With each symbol goes the range of words that decided it: wherever those words
 stand, the same symbol stands among them. A window of words is anchored at the longest symbol
 that was decided within it, so equal windows have equal anchors; windows whose anchors stand in
-one document only cannot repeat. The others are verified by a hash of all their words.
+one document only cannot repeat. The others are verified by two hashes of all their words, of
+96 bits together.
 """
 
 from __future__ import annotations
@@ -21,6 +22,11 @@ from pyspark.sql import functions as F
 WINDOW = 13
 ROUNDS = 2
 
+#: Characters of texts that a task holds as words at once, or one longer text.
+PART = 1_000_000
+#: Keys that a task remembers as shared; beyond, it begins anew and only sends some rows more.
+REMEMBERED = 500_000
+
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -88,12 +94,12 @@ def compressed(codes: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.nda
         yield name, start, end, low, high
 
 
-def window_hashes(codes: np.ndarray, window: int = WINDOW) -> np.ndarray:
+def window_hashes(codes: np.ndarray, window: int = WINDOW, odd: np.uint64 = _A) -> np.ndarray:
     """A hash of all words of every window, in order of its first word."""
     n = len(codes) - window + 1
     out = np.zeros(max(n, 0), np.uint64)
     for at in range(window if n > 0 else 0):
-        out = _mixed(out * _A + codes[at : at + n])
+        out = _mixed(out * odd + codes[at : at + n])
     return out
 
 
@@ -150,13 +156,18 @@ class Batch:
         place = self.at + np.repeat(firsts, counts)
         self.hash = every[place]
         self.anchor = window_anchors(codes, every, window)[place] if anchors else None
+        self.codes, self.place, self.window = codes, place, window
+
+    def checks(self, use: np.ndarray) -> np.ndarray:
+        """32 further bits of the windows in ``use``."""
+        return (window_hashes(self.codes, self.window, _C)[self.place[use]] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _parts(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
     """Slices of batches of about so many characters, or one longer text, with the words of their texts."""
     for batch in batches:
         start, held = 0, 0
@@ -173,54 +184,86 @@ def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
-def _firsts(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, doc) in order, and whether doc is its key's least here."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new_key = np.concatenate(([True], key[1:] != key[:-1]))
+def _firsts(key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, check, doc) in order, and whether doc is the least here of its key and check."""
+    order = np.lexsort((doc, check, key))
+    key, check, doc = key[order], check[order], doc[order]
+    new_key = np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])))
     new = new_key | np.concatenate(([True], doc[1:] != doc[:-1]))
-    return key[new], doc[new], new_key[new]
+    return key[new], check[new], doc[new], new_key[new]
 
 
-def _rows(key: np.ndarray, doc: np.ndarray, state: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(key: np.ndarray, check: np.ndarray, doc: np.ndarray, state: np.ndarray) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(key), 100_000):
         part = slice(at, at + 100_000)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(key[part]).view(np.int64)), pa.array(doc[part]), pa.array(state[part], pa.int8())], names=["key", "doc_id", "state"]
+            [pa.array(np.ascontiguousarray(key[part]).view(np.int64)), pa.array(check[part]), pa.array(doc[part]), pa.array(state[part], pa.int8())],
+            names=["key", "check", "doc_id", "state"],
         )
 
 
-_ASKED = "key long, doc_id long, state byte"
+_ASKED = "key long, check int, doc_id long, state byte"
 #: What a task knows of a document and a key: nothing yet; that others have it too; that it must tell others.
 ASKS, KNOWN, TELLS = 0, 1, 2
 
 
-def _anchored(window: int):
-    """Distinct anchors of documents. Where several documents of a part have one, all are known to share it, and one tells so."""
+class _Shared:
+    """Keys that a task has met in several documents, with the least of these, so that it sends few rows for a key that very many have."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.key, self.check, self.least = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def known(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray, above: bool) -> np.ndarray:
+        """Which rows have a key met before; with ``above`` in a smaller document."""
+        if not len(self.key):
+            return np.zeros(len(key), bool)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        met = (self.key[at] == key) & (self.check[at] == check)
+        return met & (self.least[at] < doc) if above else met
+
+    def add(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray) -> None:
+        if len(self.key) > self.most:
+            self.__init__(self.most)
+        key, check, doc = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.least, doc)))
+        order = np.lexsort((doc, key))
+        order = order[np.concatenate(([True], key[order][1:] != key[order][:-1]))] if len(order) else order
+        self.key, self.check, self.least = key[order], check[order], doc[order]
+
+
+def _alone(first: np.ndarray) -> np.ndarray:
+    """Which rows are the only one of their key, by the marks of each key's first."""
+    return first & np.concatenate((first[1:], [True]))
+
+
+def _anchored(window: int, part: int, remembered: int):
+    """Distinct anchors of documents. Where several documents of a part have one, all are known to share it, and one tells so, once in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = WordCodes()
-        for batch, words in _parts(batches):
+        code, shared = WordCodes(), _Shared(remembered)
+        for batch, words in _parts(batches, part):
             ids, sound = _ids(batch)
             found = Batch(words, code, window, True)
             use = sound[found.row]
-            key, doc, first = _firsts(found.anchor[use], ids[found.row[use]])
-            if not len(key):
+            if not use.any():
                 continue
-            alone = first & np.concatenate((first[1:], [True]))
-            yield from _rows(key, doc, np.where(alone, ASKS, KNOWN))
-            tells = first & ~alone
-            yield from _rows(key[tells], doc[tells], np.full(int(tells.sum()), TELLS))
+            key, check, doc, first = _firsts(found.anchor[use], np.zeros(int(use.sum()), np.int32), ids[found.row[use]])
+            alone = _alone(first)
+            known = shared.known(key, check, doc, False)
+            yield from _rows(key, check, doc, np.where(alone & ~known, ASKS, KNOWN))
+            tells = first & ~alone & ~known
+            yield from _rows(key[tells], check[tells], doc[tells], np.full(int(tells.sum()), TELLS))
+            shared.add(key[tells], check[tells], doc[tells])
 
     return run
 
 
-def _windows(window: int):
-    """Windows at shared anchors. In a part the least document of a window asks; the others are known to repeat it."""
+def _windows(window: int, part: int, remembered: int):
+    """Windows at shared anchors. In a part the least document of a window asks; the others are known to repeat it, as is one past what the task has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = WordCodes()
-        for batch, words in _parts(batches):
+        code, shared_here = WordCodes(), _Shared(remembered)
+        for batch, words in _parts(batches, part):
             shared = batch.column(2)
             if shared.null_count == len(shared):
                 continue
@@ -232,9 +275,12 @@ def _windows(window: int):
             for n, at in enumerate(some):
                 keys = shared[at].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 use[cuts[n] : cuts[n + 1]] = np.isin(found.anchor[cuts[n] : cuts[n + 1]], keys)
-            key, doc, first = _firsts(found.hash[use], ids[np.array(some)][found.row[use]])
-            if len(key):
-                yield from _rows(key, doc, np.where(first, ASKS, KNOWN))
+            if use.any():
+                key, check, doc, first = _firsts(found.hash[use], found.checks(use), ids[np.array(some)][found.row[use]])
+                known = shared_here.known(key, check, doc, True)
+                yield from _rows(key, check, doc, np.where(first & ~known, ASKS, KNOWN))
+                several = first & ~_alone(first)
+                shared_here.add(key[several], check[several], doc[several])
 
     return run
 
@@ -242,10 +288,10 @@ def _windows(window: int):
 def _answered(asked: DataFrame, least_stays: bool) -> DataFrame:
     """doc_id and keys: the keys that a document shares with others, or with smaller ones.
 
-    A key has a row that asks or tells for each part of the input at most, however many
-    documents have it; rows of what is known already are dealt by their documents too.
+    However many documents have a key, a task sends some rows that ask or tell at most; rows of
+    what is known already are dealt by their documents too.
     """
-    group = Window.partitionBy("key", "salt")
+    group = Window.partitionBy("key", "check", "salt")
     rows = asked.withColumn("salt", F.when(F.col("state") == KNOWN, F.col("doc_id")))
     seen = rows.select("key", "doc_id", "state", F.min("doc_id").over(group).alias("least"), F.max("doc_id").over(group).alias("most"), F.max("state").over(group).alias("told"))
     others = "doc_id > least" if least_stays else f"least < most or told = {TELLS}"
@@ -253,12 +299,12 @@ def _answered(asked: DataFrame, least_stays: bool) -> DataFrame:
     return found.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
-def _cleaner(window: int):
+def _cleaner(window: int, part: int):
     """Takes the words of repeated windows out of whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = WordCodes()
-        for batch, words in _parts(batches):
+        for batch, words in _parts(batches, part):
             repeated = batch.column(2)
             some = [at for at, there in enumerate(repeated.is_valid().to_pylist()) if there]
             gone = [0] * len(words)
@@ -283,7 +329,7 @@ def _cleaner(window: int):
     return run
 
 
-def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_repeated_windows(docs: DataFrame, window: int = WINDOW, part: int = PART, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words, joined by single blanks) of every row of ``docs``.
 
     A word goes if a window of ``window`` words that covers it also starts in a document with
@@ -293,8 +339,8 @@ def drop_repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     document: they lose nothing because of each other. No rows give none.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shared = _answered(texts.mapInArrow(_anchored(window), _ASKED), False)
+    shared = _answered(texts.mapInArrow(_anchored(window, part, remembered), _ASKED), False)
     # left joins both, so that one exchange of the texts serves twice
-    asked = texts.join(shared, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_windows(window), _ASKED)
+    asked = texts.join(shared, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_windows(window, part, remembered), _ASKED)
     repeated = _answered(asked, True)
-    return texts.join(repeated, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_cleaner(window), "doc_id long, n_words long, n_removed long, kept string")
+    return texts.join(repeated, "doc_id", "left").select("doc_id", "text", "keys").mapInArrow(_cleaner(window, part), "doc_id long, n_words long, n_removed long, kept string")
