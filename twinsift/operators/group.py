@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MB
@@ -18,7 +18,7 @@ from .stage import materialised
 
 def shared_sizes(files: DataFrame) -> DataFrame:
     """The rows whose size another row has; only these need a digest."""
-    sizes = files.groupBy("size").count().where("count > 1").select("size")
+    sizes = materialised(files.groupBy("size").count().where("count > 1").select("size"))
     return files.join(sizes, "size", "left_semi")
 
 
@@ -28,7 +28,8 @@ def with_digests(files: DataFrame, digest: Column | None = None) -> DataFrame:
     ``digest`` is an expression that reads a file, and is only taken of files of shared sizes;
     without it the column digest, taken where contents were read, is used. Contents are never shuffled.
     """
-    sizes = files.groupBy("size").agg((F.count("*") > 1).alias("shared"))
+    # written, so that the join can split the rows of a size that very many files have
+    sizes = materialised(files.groupBy("size").agg((F.count("*") > 1).alias("shared")))
     marked = files.join(sizes, "size")
     if digest is None:
         return marked.withColumn("md5", F.when(F.col("shared"), F.col("digest"))).drop("shared", "digest")
@@ -40,18 +41,21 @@ def md5_members(digested: DataFrame, singles: bool = False) -> DataFrame:
     """leader_idx, idx, pos of groups of one digest, members by idx; with ``singles`` every other row is a group of its own."""
     sound = F.col("md5").isNotNull() & ~F.col("md5").isin("", ERROR_DIGEST)
     groups = digested.where(sound).groupBy("md5").agg(F.min("idx").alias("leader_idx"), F.count("*").alias("n")).where("n > 1")
+    groups = materialised(groups)
     joined = digested.select("idx", F.when(sound, F.col("md5")).alias("md5")).join(groups, "md5", "left" if singles else "inner")
     return _placed(joined.select(F.coalesce("leader_idx", "idx").alias("leader_idx"), "idx"))
 
 
 def _placed(members: DataFrame) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("leader_idx").orderBy("idx")) - 1
-    return members.withColumn("pos", pos)
+    """``members`` (leader_idx, idx) with pos, from 0 by idx: a group of any size is numbered over many ranges."""
+    order = indexed(members, "n", F.col("leader_idx"), F.col("idx"))
+    starts = materialised(order.groupBy("leader_idx").agg(F.min("n").alias("start")))
+    return order.join(starts, "leader_idx").select("leader_idx", "idx", (F.col("n") - F.col("start")).cast("int").alias("pos"))
 
 
 def numbered(members: DataFrame) -> DataFrame:
     """group_id 0, 1, 2, ... in the order of leaders."""
-    ids = indexed(members.select("leader_idx").distinct(), "group_id", F.col("leader_idx"))
+    ids = materialised(indexed(members.where("pos = 0").select("leader_idx"), "group_id", F.col("leader_idx")))
     return members.join(ids, "leader_idx").select("group_id", "leader_idx", "idx", "pos")
 
 
@@ -117,7 +121,7 @@ def representative_members(hashes: DataFrame, most: int, singles: bool = False)
     placed = _placed(members)
     if singles:
         return placed
-    several = members.groupBy("leader_idx").count().where("count > 1").select("leader_idx")
+    several = materialised(placed.where("pos = 1").select("leader_idx"))
     return placed.join(several, "leader_idx", "left_semi")
 
 
@@ -130,7 +134,8 @@ def group_stats(members: DataFrame, files: DataFrame) -> DataFrame:
 
 def library_stats(members: DataFrame, files: DataFrame) -> DataFrame:
     """One row: files, groups."""
-    return files.agg(F.count("*").alias("files")).join(members.agg(F.count_distinct("group_id").alias("groups")), F.lit(True))
+    both = files.select(F.lit(1).alias("file"), F.lit(None).cast("long").alias("group_id")).unionAll(members.select(F.lit(0), "group_id"))
+    return both.agg(F.coalesce(F.sum("file"), F.lit(0)).alias("files"), F.count_distinct("group_id").alias("groups"))
 
 
 def selection_summary(members: DataFrame, files: DataFrame) -> DataFrame:

@@ -30,20 +30,21 @@ def _valid(members: DataFrame, files: DataFrame) -> DataFrame:
     return members.join(there.select("idx", "path", "name", "mtime", "selected"), "idx")
 
 
-def ranked(members: DataFrame, files: DataFrame, rule: str) -> DataFrame:
-    """Valid members of groups of two or more, place 1 the keeper."""
-    group = Window.partitionBy("group_id")
-    place = F.row_number().over(group.orderBy(*RULES[rule](), F.lower("path"), "idx"))
-    return _valid(members, files).withColumns({"place": place, "valid": F.count("*").over(group)}).where("valid > 1")
-
-
 def keepers(members: DataFrame, files: DataFrame, rule: str) -> DataFrame:
-    return ranked(members, files, rule).where("place = 1").select("group_id", "idx", "path")
+    """group_id, idx and path of the file that stays, for groups of two or more valid members.
+
+    Each task keeps its best row of a group before rows are dealt by group.
+    """
+    valid = _valid(members, files)
+    place = F.row_number().over(Window.partitionBy("group_id").orderBy(*RULES[rule](), F.lower("path"), "idx"))
+    best = valid.withColumn("place", place).where("place = 1").select("group_id", "idx", "path")
+    return best.join(valid.groupBy("group_id").count().where("count > 1").select("group_id"), "group_id", "left_semi")
 
 
 def deletion_plan(members: DataFrame, files: DataFrame, rule: str) -> DataFrame:
     """All valid members but the keeper of each group."""
-    return ranked(members, files, rule).where("place > 1").select("group_id", "path", F.lit(rule).alias("reason"))
+    stays = materialised(keepers(members, files, rule).select("group_id", F.col("idx").alias("keeper")))
+    return _valid(members, files).join(stays, "group_id").where("idx <> keeper").select("group_id", "path", F.lit(rule).alias("reason"))
 
 
 def selected_in_group(members: DataFrame, files: DataFrame, group_id: int) -> DataFrame:
@@ -59,8 +60,9 @@ def deletion_preview(members: DataFrame, files: DataFrame) -> DataFrame:
     """One row: distinct selected files, groups that lose some, groups that lose all."""
     valid = _valid(members, files)
     groups = valid.groupBy("group_id").agg(F.count_if("selected").alias("selected"), F.count("*").alias("existing"))
-    affected = groups.agg(F.expr("count_if(selected > 0)").alias("affected_groups"), F.expr("count_if(selected > 0 and selected = existing)").alias("emptied_groups"))
-    return valid.where("selected").agg(F.count_distinct("idx").alias("selected_files")).join(affected, F.lit(True))
+    some = groups.select(F.lit(0).alias("file"), (F.col("selected") > 0).cast("int").alias("some"), ((F.col("selected") > 0) & (F.col("selected") == F.col("existing"))).cast("int").alias("all"))
+    both = some.unionAll(valid.where("selected").select("idx").distinct().select(F.lit(1), F.lit(0), F.lit(0)))
+    return both.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("file", "selected_files"), ("some", "affected_groups"), ("all", "emptied_groups"))))
 
 
 def eligible(members: DataFrame, files: DataFrame) -> DataFrame:

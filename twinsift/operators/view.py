@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -69,13 +69,12 @@ def group_label() -> Column:
 
 
 def pages(members: DataFrame, size: int = 12) -> DataFrame:
-    """The members with the page that shows them; a window in each group, by position."""
-    rank = F.row_number().over(Window.partitionBy("group_id").orderBy("pos"))
-    return members.withColumn("page", F.floor((rank - 1) / size).cast("int"))
+    """The members with the page of their group that shows them, by position."""
+    return members.withColumn("page", F.floor(F.col("pos") / size).cast("int"))
 
 
 def failures(results: DataFrame, shown: int = 12) -> DataFrame:
     """The first failed paths and, in each row, how many more there are."""
     failed = results.where("status = 'failed'")
-    more = failed.agg(F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))
-    return failed.orderBy("path").limit(shown).select("path").join(F.broadcast(more), F.lit(True))
+    more = max(failed.count() - shown, 0)
+    return failed.orderBy("path").limit(shown).select("path", F.lit(more).cast("long").alias("more"))
