@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..functions.hashes import bits_text, hasher, words
 from ..operators import cache, group, keep, match, view
 from ..operators.stage import materialised
-from ..schema import ALGORITHM_TABLE, ALGORITHMS, DISPLAY_ORDER
+from ..schema import ALGORITHM_TABLE, ALGORITHMS, DISPLAY_ORDER, HEIF_SUFFIXES, IMAGE_SUFFIXES, JPEG2000_SUFFIXES, RASTER_SUFFIXES, RAW_SUFFIXES, VIDEO_SUFFIXES
 from ..sources.tables import files_from_documents, library, rasters_from_documents, rasters_from_embeddings
 from . import oracle as sql
 
@@ -106,6 +106,19 @@ def requested_size(spark, sf_dir):
     return sized.select("path", w.alias("w"), h.alias("h"), scalars.requested_size("width", "height", 0, 48)[0].alias("w_of_48"))
 
 
+@_query(f"WITH {sql.FILES}, sized AS (SELECT *, {_DIMS} FROM files) SELECT path, CASE WHEN width > 1 AND height > 1 THEN width || 'x' || height ELSE '-' END AS resolution FROM sized")
+def resolution_text(spark, sf_dir):
+    known = _sized(spark, sf_dir).withColumns({c: F.when(F.col(c) > 1, F.col(c)) for c in ("width", "height")})
+    return known.select("path", F.coalesce(scalars.resolution_text(), F.lit("-")).alias("resolution"))
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}')" for c, names in (("image", IMAGE_SUFFIXES), ("video", VIDEO_SUFFIXES)) for s in sorted(set(names))) + ") t(suffix, category)")
+def supported_suffixes(spark, sf_dir):
+    families = [(RASTER_SUFFIXES, "image"), (HEIF_SUFFIXES, "image"), (JPEG2000_SUFFIXES, "image"), (RAW_SUFFIXES, "image"), (VIDEO_SUFFIXES, "video")]
+    listed = spark.createDataFrame([(s,) for names, _ in families for s in names], "suffix string")
+    return listed.distinct().select("suffix", scalars.category().alias("category"))
+
+
 # --- exact groups
 
 
@@ -164,6 +177,11 @@ def hash_mask(spark, sf_dir):
     return docs.select("doc_id", *(c.alias(n) for n, c in held.items())).select(F.col("doc_id").alias("idx"), scalars.hash_mask().alias("mask"))
 
 
+@_query(f"""WITH {sql.hashed('dhash')} SELECT idx, array_to_string(list_transform(range(32), lambda i: printf('%02x', CAST(list_sum(list_transform(range(8), lambda j: CASE WHEN bits[i * 8 + j + 1] = '1' THEN 1 << j ELSE 0 END)) AS INT))), '') AS bytes FROM hashed""")
+def hash_bytes(spark, sf_dir):
+    return _hashes(spark, sf_dir, "dhash").select("idx", F.lower(F.hex("hash")).alias("bytes"))
+
+
 @_query(f"WITH {sql.hashed('dhash')} SELECT min(idx) AS rep, count(*) AS copies FROM hashed GROUP BY bits")
 def hash_collapse(spark, sf_dir):
     return match.collapsed(_hashes(spark, sf_dir, "dhash")).select("rep", "copies")

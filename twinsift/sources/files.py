@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -16,18 +16,19 @@ from pyspark.sql import types as T
 from ..functions.hashes import hasher
 from ..functions.scalars import basename, category, decode_slot, suffix
 from ..operators.order import indexed
-from ..schema import ALGORITHMS, CACHE_PREFIX, ERROR_DIGEST
+from ..schema import ALGORITHMS, CACHE_PREFIX, ERROR_DIGEST, IMAGE_SUFFIXES, VIDEO_SUFFIXES
 from .decode import DECODERS, allocation_limit, decode_gray, gray_raster, jpeg_orientation, png_size, upright
 
 _LISTED = "path string, rel_path string, size long, mtime long"
 
 
-def list_folder(spark: SparkSession, folder: str, recursive: bool = False, tasks: int = 256) -> DataFrame:
+def list_folder(spark: SparkSession, folder: str, recursive: bool = False, suffixes: Collection[str] | None = None, tasks: int = 256) -> DataFrame:
     """path, rel_path, size, mtime (ms) of readable files under a folder that all executors see.
 
     Names that begin with a dot or underscore are listed too, which Spark's own readers skip. The
     driver opens folders until there are ``tasks`` of them, or none is left to open; each of
-    these is then walked by a task.
+    these is then walked by a task. With ``suffixes`` (in lower case, without the dot) files of others
+    are passed over before they are looked at.
     """
     shallow, deep = [folder], []
     if recursive:
@@ -36,12 +37,16 @@ def list_folder(spark: SparkSession, folder: str, recursive: bool = False, tasks
             below = [e.path for top in deep for e in os.scandir(top) if e.is_dir(follow_symlinks=False)]
             shallow, deep = shallow + deep, sorted(below)
 
+    wanted = None if suffixes is None else frozenset(suffixes)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for top, whole in zip(batch["top"], batch["whole"]):
                 for at, _, names in os.walk(top):
                     rows = []
                     for name in names:
+                        if wanted is not None and os.path.splitext(f"x{name}")[1][1:].lower() not in wanted:
+                            continue
                         path = os.path.join(at, name)
                         try:
                             stat = os.stat(path)
@@ -68,7 +73,9 @@ def classified(listed: DataFrame, images: bool = True, videos: bool = False, oth
 def scan(spark: SparkSession, folder: str, algorithm: str = "dhash", recursive: bool = False, videos: bool = False, others: bool = False, images: bool = True) -> DataFrame:
     """The library of a folder in canonical order: perceptual hashes take images alone, md5 what is asked for."""
     exact = algorithm == "md5"
-    found = classified(list_folder(spark, folder, recursive), images or not exact, videos and exact, others and exact)
+    images, videos, others = images or not exact, videos and exact, others and exact
+    suffixes = None if others else [*(IMAGE_SUFFIXES if images else ()), *(VIDEO_SUFFIXES if videos else ())]
+    found = classified(list_folder(spark, folder, recursive, suffixes), images, videos, others)
     return indexed(found, "idx", F.lower("path"), F.col("path"))
 
 
@@ -156,14 +163,20 @@ def with_rasters(files: DataFrame, content: str | None = None) -> DataFrame:
     if content:
         return _decoded(files, content).select("*", "raster.gray", "raster.width", "raster.height").drop("raster")
     spark = files.sparkSession
-    own = files.where(F.col("suffix").isin(*DECODERS)).withColumn("sizes", _png_sizes("path", "suffix"))
-    own = own.select("*", "sizes.width", "sizes.height").withColumn("slot", decode_slot()).drop("sizes", "width", "height")
-    parts = [_decoded(own.where("slot = 'free'").drop("slot"), None)]
-    parts += [_decoded(own.where(F.col("slot") == slot).drop("slot").coalesce(tasks), None) for slot, tasks in SLOTS.items()]
-    jvm = files.where(F.col("suffix").isin(*(s for s in JVM_SUFFIXES if s not in DECODERS)))
-    paths = [r["path"] for r in jvm.where(~basename().rlike("^[._]")).select("path").toLocalIterator()]
+    here = {r["suffix"] for r in files.where(F.col("suffix").isin(*DECODERS, *JVM_SUFFIXES)).select("suffix").distinct().collect()}
+    parts: list[DataFrame] = []
+    if own_suffixes := sorted(here.intersection(DECODERS)):
+        own = files.where(F.col("suffix").isin(own_suffixes)).withColumn("sizes", _png_sizes("path", "suffix"))
+        own = own.select("*", "sizes.width", "sizes.height").withColumn("slot", decode_slot()).drop("sizes", "width", "height")
+        slots = {r["slot"] for r in own.select("slot").distinct().collect()}
+        for slot in sorted(slots):
+            rows = own.where(F.col("slot") == slot).drop("slot")
+            parts.append(_decoded(rows.coalesce(SLOTS[slot]) if slot in SLOTS else rows, None))
     none = F.lit(None).cast(_RASTER)
-    parts.append(jvm.join(_jvm_rasters(spark, paths), "path", "left").select(*files.columns, "raster") if paths else jvm.withColumn("raster", none))
+    if jvm_suffixes := sorted(here.difference(DECODERS)):
+        jvm = files.where(F.col("suffix").isin(jvm_suffixes))
+        paths = [r["path"] for r in jvm.where(~basename().rlike("^[._]")).select("path").collect()]
+        parts.append(jvm.join(_jvm_rasters(spark, paths), "path", "left").select(*files.columns, "raster") if paths else jvm.withColumn("raster", none))
     parts.append(files.where(~F.col("suffix").isin(*DECODERS, *JVM_SUFFIXES)).withColumn("raster", none))
     out = parts[0]
     for part in parts[1:]:

@@ -21,12 +21,16 @@ def in_batches(pending: DataFrame, work: Callable[[DataFrame], DataFrame], done:
 
     A batch is a whole job: on a cluster ``rows`` should be many times its cores.
     """
-    places = materialised(indexed(pending, "__place", F.col("idx")).withColumn("__batch", F.expr(f"__place div {rows}")))
-    last = places.agg(F.max("__batch")).first()[0]
-    for number in range(0 if last is None else last + 1):
+    count = pending.count()
+    if count <= rows:
+        batches = [pending] if count else []
+    else:
+        places = materialised(indexed(pending, "__place", F.col("idx")))
+        batches = [places.where(F.col("__place").between(first, first + rows - 1)).drop("__place") for first in range(0, count, rows)]
+    for batch in batches:
         if cancelled():
             return False
-        done(work(places.where(F.col("__batch") == number).drop("__place", "__batch")))
+        done(work(batch))
     return not cancelled()
 
 
