@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, written
-from .tokens import DEFAULT_VOCABULARY, ChunkedEncoder
+from .tokens import DEFAULT_VOCABULARY, encoder
 
 LENGTH = 2048
 #: Sequences in one shard file.
@@ -57,7 +57,7 @@ class Feistel:
 
 def token_type(vocabulary: str = DEFAULT_VOCABULARY) -> np.dtype:
     """How an id is stored: unsigned and little-endian, of 2 bytes if all of the vocabulary's fit, else of 4."""
-    return np.dtype("<u2" if ChunkedEncoder(vocabulary).size <= 1 << 16 else "<u4")
+    return np.dtype("<u2" if encoder(vocabulary).size <= 1 << 16 else "<u4")
 
 
 def token_table(docs: DataFrame, kind: np.dtype, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -66,11 +66,11 @@ def token_table(docs: DataFrame, kind: np.dtype, vocabulary: str = DEFAULT_VOCAB
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, at = ChunkedEncoder(vocabulary), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(vocabulary).encode, TaskContext.get().partitionId(), 0
         for batch in batches:
             starts, tokens = [], []
             for text in batch.column(0):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + b"\0\0\0\0", "<u4").astype(kind)
+                ids = np.frombuffer(encode(text.as_py()) + b"\0\0\0\0", "<u4").astype(kind)
                 starts.append(at)
                 tokens.append(ids.tobytes())
                 at += len(ids)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import DEFAULT_VOCABULARY, ChunkedEncoder
+from .tokens import DEFAULT_VOCABULARY, encoder
 
 CAPACITY = 2048
 #: Pieces that one task packs at once; bounds a task's memory and time.
@@ -36,12 +36,12 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = DE
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkedEncoder(vocabulary)
+        encode = encoder(vocabulary).encode
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [])
             texts = batch.column(1)
             for at, doc_id in enumerate(batch.column(0).to_pylist()):
-                ids = encoder.encode(texts[at].as_py()) + b"\0\0\0\0"
+                ids = encode(texts[at].as_py()) + b"\0\0\0\0"
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     for to, value in zip(rows, (doc_id, piece, start // 4, len(part) // 4, zlib.crc32(part))):

@@ -9,6 +9,7 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable
+from functools import lru_cache
 
 #: A name among the public tokenizers, or a path.
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
@@ -67,7 +68,7 @@ class ChunkedEncoder:
     is bounded and never changes a result.
     """
 
-    def __init__(self, path: str = DEFAULT_VOCABULARY, most: int = 200_000):
+    def __init__(self, path: str = DEFAULT_VOCABULARY, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tiktoken import Encoding
         from tokenizers import Tokenizer
@@ -106,6 +107,12 @@ class ChunkedEncoder:
         return _packed(ids)
 
 
+@lru_cache(maxsize=1)
+def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> ChunkedEncoder:
+    """The encoder of this process: tasks that a worker runs one after the other share it, and its memory."""
+    return ChunkedEncoder(vocabulary)
+
+
 def entry_bytes(vocabulary: dict[str, int]) -> dict[bytes, int]:
     """The vocabulary's entries as bytes, END for a word's end: printable bytes stand for themselves, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
