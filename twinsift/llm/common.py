@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,6 +41,16 @@ def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def given_back(rows: Iterator) -> Iterator:
+    """``rows``, and after them what this worker holds no more goes back to the system: workers stay for other tasks and stages."""
+    yield from rows
+    del rows
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, with underscores behind it until none of ``columns`` is called so in any case."""
     taken = {c.lower() for c in columns}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import given_back, written
 from .tokens import located
 
 #: A name among the public tokenizers, or a path.
@@ -191,7 +191,7 @@ def piece_counts(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataF
             )
 
     rows = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(count, "lang string, piece int, n long")
+    counted = rows.mapInArrow(lambda batches: given_back(count(batches)), "lang string, piece int, n long")
     return counted.groupBy("lang", "piece").agg(F.sum("n").alias("n"))
 
 
@@ -264,7 +264,7 @@ def identify(docs: DataFrame, training: DataFrame, vocabulary: str = DEFAULT_VOC
             )
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return rows.mapInArrow(lambda batches: given_back(run(batches)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -281,4 +281,4 @@ def keep_identified(docs: DataFrame, training: DataFrame, least: float = 0.5, vo
             found = predict(batch.column(at))
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: given_back(run(batches)), docs.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import given_back, unused, written
 from .graph import connected_components
 
 WORDS = 4
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: given_back(run(batches)), "doc_id long, fingerprint long")
 
 
 def _meeting_places(prints: DataFrame) -> DataFrame:
