@@ -13,6 +13,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -138,45 +139,88 @@ def spanning(near: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 FOREST, PAIR, DEGREE = 0, 1, 2
-
-
-def _verified(group: pa.Table, least: float) -> list[tuple[np.ndarray, ...]]:
-    """The links of one group as rows (kind, a, b, for_a, for_b).
-
-    A pair that stands together in several tables counts in the first of these; there each of
-    the two gets the other's copies as a degree, and links that join the same are enough. One
-    that never stands together is met by probing, maybe more than once, and stays a pair.
-    """
-    group = group.take(pa.array(np.unique(group["rep"].to_numpy(), return_index=True)[1]))
-    reps, copies, table = group["rep"].to_numpy(), group["copies"].to_numpy(), group["tab"][0].as_py()
-    mine, block = group["mine"].to_numpy(zero_copy_only=False).astype(bool), group["block"].to_numpy()
-    own = np.array(group["own"].to_pylist(), np.int64)
-    units = _units(group["vector"].combine_chunks())
-    stands = np.flatnonzero(mine)
-    near = units[stands] @ units.T >= least
-    near[np.arange(len(stands)), stands] = False
-    if not group["same"][0].as_py():  # pairs within a block meet in a group of their own
-        near &= block[stands][:, None] != block[None, :]
-    if not near.any():
-        return []
-    out = []
-    both = near[:, stands]
-    for t in range(table):
-        both &= own[stands, t][:, None] != own[stands, t][None, :]
-    degree = both @ copies[stands]
-    some = degree > 0
-    if some.any():
-        left, right = spanning(both.copy())
-        joined = reps[stands]
-        out.append((FOREST, joined[left], joined[right], np.zeros(len(left), np.int64), np.zeros(len(left), np.int64)))
-        out.append((DEGREE, joined[some], joined[some], degree[some], np.zeros(int(some.sum()), np.int64)))
-    near[:, stands] = False
-    i, j = np.nonzero(near)
-    i = stands[i]
-    apart = (own[i] != own[j]).all(axis=1)
-    i, j = i[apart], j[apart]
-    i, j = np.where(reps[i] < reps[j], i, j), np.where(reps[i] < reps[j], j, i)
-    out.append((PAIR, reps[i], reps[j], copies[j], copies[i]))
+#: Groups of up to so many vectors are compared many at once.
+SHORT = 12
+
+
+class _Rows:
+    """Rows of whole groups, of vectors of one dimension, as arrays; pairs are told by two places."""
+
+    def __init__(self, table: pa.Table):
+        self.group, self.rep, self.copies, self.tab, self.block = (table[n].to_numpy() for n in ("group", "rep", "copies", "tab", "block"))
+        self.mine, self.same = (table[n].to_numpy(zero_copy_only=False).astype(bool) for n in ("mine", "same"))
+        self.own = table["own"].combine_chunks().flatten().to_numpy().reshape(len(self.group), -1)
+        vectors = table["vector"].combine_chunks().flatten().to_numpy().reshape(len(self.group), -1)
+        vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+        self.units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def linked(self, i: np.ndarray, j: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """Near pairs as rows (kind, a, b, for_a, for_b).
+
+        A pair that stands together in several tables counts in the first of these; there each of
+        the two gets the other's copies as a degree. One that never stands together is met by
+        probing, maybe more than once, and stays a pair.
+        """
+        both, alike = self.mine[i] & self.mine[j], self.own[i] == self.own[j]
+        before = np.arange(alike.shape[1])[None, :] < self.tab[i][:, None]
+        first = both & ~(alike & before).any(axis=1)
+        probed = ~both & ~alike.any(axis=1)
+        a, b, zero = i[first], j[first], np.zeros(int(first.sum()), np.int64)
+        out = [(FOREST, self.rep[a], self.rep[b], zero, zero)]
+        out += [(DEGREE, self.rep[x], self.rep[x], self.copies[y], zero) for x, y in ((a, b), (b, a))]
+        a, b = i[probed], j[probed]
+        turn = self.rep[a] > self.rep[b]
+        a, b = np.where(turn, b, a), np.where(turn, a, b)
+        return [*out, (PAIR, self.rep[a], self.rep[b], self.copies[b], self.copies[a])]
+
+    def short(self, few: np.ndarray, least: float) -> list[tuple[np.ndarray, ...]]:
+        """The links of all groups in ``few`` (rows of groups of up to SHORT), by shifted comparison."""
+        out = []
+        for shift in range(1, min(SHORT, len(self.group))):
+            i = np.flatnonzero(few[:-shift] & (self.group[shift:] == self.group[:-shift]))
+            j = i + shift
+            met = (self.mine[i] | self.mine[j]) & (self.rep[i] != self.rep[j]) & (self.same[i] | (self.block[i] != self.block[j]))
+            for first in range(0, len(i := i[met]), 20_000):
+                x, y = i[first : first + 20_000], i[first : first + 20_000] + shift
+                near = np.einsum("ij,ij->i", self.units[x], self.units[y]) >= least
+                if near.any():
+                    out += self.linked(x[near], y[near])
+        return out
+
+    def long(self, start: int, stop: int, least: float) -> list[tuple[np.ndarray, ...]]:
+        """The links of one group; of those that stand together, ones that join the same are enough."""
+        at = np.arange(start, stop)
+        stands = at[self.mine[start:stop]]
+        near = self.units[stands] @ self.units[start:stop].T >= least
+        near &= self.rep[stands][:, None] != self.rep[at][None, :]
+        if not self.same[start]:  # pairs within a block meet in a group of their own
+            near &= self.block[stands][:, None] != self.block[at][None, :]
+        if not near.any():
+            return []
+        both = near[:, stands - start]
+        for t in range(int(self.tab[start])):
+            both &= self.own[stands, t][:, None] != self.own[stands, t][None, :]
+        degree = both @ self.copies[stands]
+        some, out = degree > 0, []
+        if some.any():
+            left, right = spanning(both)
+            joined, zero = self.rep[stands], np.zeros(len(stands), np.int64)
+            out = [(FOREST, joined[left], joined[right], zero[: len(left)], zero[: len(left)]), (DEGREE, joined[some], joined[some], degree[some], zero[some])]
+        near[:, stands - start] = False
+        i, j = np.nonzero(near)
+        return out + self.linked(stands[i], at[j])[-1:] if len(i) else out
+
+
+def _verified(table: pa.Table, least: float) -> list[tuple[np.ndarray, ...]]:
+    """The links of whole groups as rows (kind, a, b, for_a, for_b); vectors of unlike dimension have none."""
+    out, sizes = [], pc.list_value_length(table["vector"])
+    for size in pc.unique(sizes).to_pylist():
+        rows = _Rows(table.filter(pc.equal(sizes, size)))
+        starts = np.flatnonzero(np.concatenate(([True], rows.group[1:] != rows.group[:-1])))
+        counts = np.diff(np.append(starts, len(rows.group)))
+        out += rows.short(np.repeat(counts <= SHORT, counts), least)
+        for start, count in zip(starts[counts > SHORT].tolist(), counts[counts > SHORT].tolist()):
+            out += rows.long(start, start + count, least)
     return out
 
 
@@ -221,12 +265,12 @@ def vector_links(vectors: DataFrame, least: float = COSINE, tables: int = TABLES
             groups = table["group"].to_numpy()
             starts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1]))).tolist() + [len(groups)]
             whole = len(starts) - (1 if ended else 2)
-            made = [row for start, stop in zip(starts[:whole], starts[1:]) if stop - start > 1 for row in _verified(table.slice(start, stop - start), least)]
+            made = _verified(table.slice(0, starts[whole]), least) if starts[whole] else []
             held = table.slice(starts[whole]).to_batches()
-            for kind, *columns in made:
-                for at in range(0, len(columns[0]), 50_000):
-                    part = [pa.array(np.ascontiguousarray(c[at : at + 50_000])) for c in columns]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int8)), *part], names=["kind", "a", "b", "for_a", "for_b"])
+            if made:
+                kinds = np.concatenate([np.full(len(columns[0]), kind, np.int8) for kind, *columns in made])
+                parts = [kinds, *(np.concatenate(part) for part in list(zip(*made))[1:])]
+                yield from pa.table([pa.array(part) for part in parts], names=["kind", "a", "b", "for_a", "for_b"]).to_batches(max_chunksize=50_000)
 
     made = written(found.repartition("group").sortWithinPartitions("group").mapInArrow(link, "kind byte, a long, b long, for_a long, for_b long"))
     return made.where(f"kind <> {PAIR}").unionAll(made.where(f"kind = {PAIR}").distinct())
